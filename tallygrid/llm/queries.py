@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallygrid.llm import decontamination, mixing
+from tallygrid.llm import decontamination, mixing, repetition, substrings
 from tallygrid.llm.common import table
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_span_words", "longest_repeat")
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -17,11 +26,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_repetition": op4_repetition,
+    "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
+    "op8_substrings": substrings.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
