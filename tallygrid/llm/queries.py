@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontamination, mixing, ngramjoin, repetition, substrings
+from tallygrid.llm import decontamination, mixing, ngramjoin, quality, repetition, substrings, urlfilter
 from tallygrid.llm.common import table
 
 
@@ -17,6 +17,17 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_span_words", "longest_repeat")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", urlfilter.stand_in_time(F.col("page_id")).alias("fetched"))
+    return urlfilter.judge(captures, urlfilter.entries_frame(spark))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -32,12 +43,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_repetition": op4_repetition,
+    "op6_quality": op6_quality,
+    "op7_url_filters": op7_url_filters,
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
+    "op7_url_filters": urlfilter.ORACLE,
     "op8_substrings": substrings.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
