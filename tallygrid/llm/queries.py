@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontamination, mixing, ngramjoin, quality, repetition, substrings, urlfilter
+from tallygrid.llm import decontamination, extraction, language, mixing, ngramjoin, quality, repetition, substrings, toxicity, urlfilter
 from tallygrid.llm.common import table
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.link(table(spark, sf_dir, "documents"))
 
@@ -17,6 +26,11 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_span_words", "longest_repeat")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).drop("evidence")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -41,8 +55,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extraction": op1_extraction,
+    "op2_language": op2_language,
     "op3_ngram_join": op3_ngram_join,
     "op4_repetition": op4_repetition,
+    "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_url_filters": op7_url_filters,
     "op8_substrings": op8_substrings,
