@@ -15,8 +15,6 @@ taken together; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +63,25 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     bits: int = 12,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row.
 
+    With ``whole_rows``, the columns of ``docs`` come first and those from ``size`` on
+    follow; a column of ``docs`` by such a name gives way.
+
     ``share`` times all words are dealt to the sources by ``weights``, no source
     above ``most`` times its size. ``copies`` is how often the mix holds the
     document and ``taken`` is ``copies * size``. A source misses its target by
     half the size of its boundary document at most.
     """
-    sized = settle(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.size(space_words(F.col(text_col))).cast("long").alias("size"),
-            id_hash(F.col(id_col)).alias("h"),
-        ),
-        "mix-sized",
+    measures = (
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.size(space_words(F.col(text_col))).cast("long").alias("size"),
+        id_hash(F.col(id_col)).alias("h"),
     )
+    sized = settle(docs.select(*measures), "mix-sized")
     sources = settle(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     small = (lambda df: F.broadcast(df)) if sources.count() <= BROADCAST_SOURCES else (lambda df: df)
 
@@ -98,9 +98,13 @@ def mix(
     )
     picked = F.col("threshold").isNull() & (F.col("whole") < most) | (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & F.col("inclusive"))
     copies = F.col("whole") + F.coalesce(picked, F.lit(False)).cast("long")
-    return sized.join(small(per_source), F.col("source").eqNullSafe(F.col("p_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    found = ("size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    same = F.col("source").eqNullSafe(F.col("p_source"))
+    if not whole_rows:
+        return sized.join(small(per_source), same).select("doc_id", "source", *found)
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    rows = docs.select(*measures, F.struct(*own).alias("row"))
+    return rows.join(small(per_source), same).select("row.*", *found)
 
 
 def _refine(sized: DataFrame, cut: DataFrame, low: int, bits: int) -> DataFrame:

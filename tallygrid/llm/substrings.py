@@ -95,26 +95,35 @@ def _windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
     )
 
 
+def _merged(found: list[dict] | None, window: int) -> list[list[int]]:
+    """The word ranges [from, to) that the windows starting at lo to hi cover, in order."""
+    spans: list[list[int]] = []
+    for lo, hi in sorted((x["lo"], x["hi"] + window) for x in found or ()):
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(hi, spans[-1][1])
+        else:
+            spans.append([lo, hi])
+    return spans
+
+
+def _left(words: list[bytes], spans: list[list[int]]) -> list[bytes]:
+    left, at = [], 0
+    for lo, hi in spans:
+        left += words[at:lo]
+        at = hi
+    return left + words[at:]
+
+
 def _without(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     """Each text without the words of its duplicate windows, and the spans of words that went."""
     n_words, n_removed, kept, spans = [], [], [], []
     for text, found in zip(filled(batch.column("text")), batch.column("found").to_pylist()):
         words = text.as_buffer().to_pybytes().split()
-        merged: list[list[int]] = []
-        for lo, hi in sorted((x["lo"], x["hi"] + window) for x in found or ()):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(hi, merged[-1][1])
-            else:
-                merged.append([lo, hi])
-        left, at = [], 0
-        for lo, hi in merged:
-            left += words[at:lo]
-            at = hi
-        left += words[at:]
+        spans.append(_merged(found, window))
+        left = _left(words, spans[-1])
         n_words.append(len(words))
         n_removed.append(len(words) - len(left))
         kept.append(b" ".join(left))
-        spans.append(merged)
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary()).cast(pa.string())],
         names=["doc_id", "n_words", "n_removed", "spans", "kept"],
@@ -170,6 +179,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return joined.mapInArrow(run, f"doc_id {key}, n_words bigint, n_removed bigint, spans array<array<int>>, kept string")
 
 
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """``docs`` with all columns, and every text without the words that ``dedup`` removes.
+
+    A text that loses nothing stays as it is; another has its kept words joined by spaces.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    found = duplicate_windows(texts, window).select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "found")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"))
+    joined = rows.join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = zip(filled(text), spans.to_pylist())
+        return pa.array([b" ".join(_left(t.as_buffer().to_pybytes().split(), _merged(x, window))) if x else b"" for t, x in pairs], pa.binary()).cast(pa.string())
+
+    # only texts that lose words travel to Python
+    losing = F.col("found").isNotNull()
+    shorter = cut(F.when(losing, F.col(f"row.{text_col}").cast("string")), F.col("found"))
+    return joined.select("row", F.when(losing, shorter).otherwise(F.col(f"row.{text_col}")).alias("shorter")).select(*[F.col("shorter").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 ORACLE = r"""
 with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws, row_number() over () as r from documents),
 p as (select r, doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as s from d where len(ws) >= 50),
