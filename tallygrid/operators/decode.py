@@ -130,7 +130,10 @@ def affine_pixels(values: Column) -> Column:
 
 def planes(rgba: Column) -> Column:
     """Interleaved RGBA bytes as the red plane, then green, then blue, alpha left out, scaled."""
-    return affine_pixels(F.concat(*[F.filter(rgba, lambda x, i, c=c: F.pmod(i, F.lit(4)) == c) for c in range(3)]))
+    def plane(channel: int) -> Column:
+        return F.filter(rgba, lambda x, i: F.pmod(i, F.lit(4)) == channel)
+
+    return affine_pixels(F.concat(*map(plane, range(3))))
 
 
 def pixels_or(given: Column, otherwise: Column, size: int = 3 * 384 * 384) -> Column:
