@@ -25,3 +25,28 @@ def guide_lines(boxes: DataFrame, group: list[str], order: list[str]) -> DataFra
     left = F.lead(F.col("x") - F.col("width")).over(following)
     lines = boxes.select(*group, *order, ((F.col("x") + left) / 2).alias("guide_x"), (F.col("y") - F.col("height")).alias("y1"), F.col("y").alias("y2"))
     return lines.filter(F.col("guide_x").isNotNull())
+
+
+def seen_at(x: Column, y: Column, page: tuple[float, float, float, float], corners: Column) -> tuple[Column, Column]:
+    """Where a point of the page stands in a photo, from where its four anchors were found.
+
+    ``page`` is the anchors' rectangle (left, top, right, bottom) on the page, and
+    ``corners`` an array of struct(x, y) in the photo: top left, top right, bottom
+    right, bottom left. The projective map is the closed form of a unit square's.
+    """
+    left, top, right, bottom = page
+    u, v = (x - left) / (right - left), (y - top) / (bottom - top)
+    a, b, c, d = (F.get(corners, F.lit(i)) for i in range(4))
+
+    def coefficients(of: str) -> tuple[Column, Column, Column]:
+        return b[of] - c[of], d[of] - c[of], a[of] - b[of] + c[of] - d[of]
+
+    (x1, x2, x3), (y1, y2, y3) = coefficients("x"), coefficients("y")
+    across = x1 * y2 - x2 * y1
+    g, h = (x3 * y2 - x2 * y3) / across, (x1 * y3 - x3 * y1) / across
+    depth = g * u + h * v + 1
+
+    def place(of: str) -> Column:
+        return (a[of] + (b[of] - a[of] + g * b[of]) * u + (d[of] - a[of] + h * d[of]) * v) / depth
+
+    return place("x"), place("y")
