@@ -14,15 +14,14 @@ TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "
 def read_photos(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """(photo, [content]): selected, name, type, size, preview and error of every file below ``path``.
 
-    Without ``content`` only the files' names and sizes are read. An empty file has
-    no preview and an error.
+    Without ``content`` only the files' names and sizes are read. The source lists no
+    empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ending.isin(*TYPES), label_of(ending, TYPES)).otherwise(F.lit(""))
-    good = F.col("length") > 0
-    photo = F.struct(F.lit(True).alias("selected"), F.url_decode(name).alias("name"), kind.alias("type"), F.col("length").alias("size"), good.alias("preview"), F.when(good, F.lit("")).otherwise(F.lit("empty file")).alias("error"))
+    photo = F.struct(F.lit(True).alias("selected"), F.url_decode(name).alias("name"), kind.alias("type"), F.col("length").alias("size"), F.lit(True).alias("preview"), F.lit("").alias("error"))
     return files.select(photo.alias("photo"), *(["content"] if content else []))
 
 
