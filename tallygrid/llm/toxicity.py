@@ -178,7 +178,7 @@ class Neighbours:
         for i in np.flatnonzero(np.diff(cut)):
             near, cosine = self.nearest(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
             votes[i] = self.vote(near, cosine)
-            evidence[i] = [{"id": int(self.ids[j]), "label": int(self.labels[j]), "cosine": float(c)} for j, c in zip(near, cosine)]
+            evidence[i] = [{"id": self.ids[j : j + 1].tolist()[0], "label": int(self.labels[j]), "cosine": float(c)} for j, c in zip(near, cosine)]
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * votes + b, -500, 500))), evidence
 
@@ -238,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Neighbours | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    evidence = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+    key = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -246,7 +246,8 @@ def score(docs: DataFrame, model: Neighbours | float, id_col: str = "doc_id", te
                 s, why = model.score(filled(batch.column("text")))
             else:
                 s, why = np.full(batch.num_rows, float(model)), [[]] * batch.num_rows
+            evidence = pa.list_(pa.struct([("id", batch.column("doc_id").type), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(why, evidence)], names=["doc_id", "score", "predicted", "evidence"])
 
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int, evidence array<struct<id: bigint, label: int, cosine: double>>")
+    found = rows.mapInArrow(run, f"doc_id {key}, score double, predicted int, evidence array<struct<id: {key}, label: int, cosine: double>>")
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "evidence")
