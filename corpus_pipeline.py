@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.llm import decontamination, mixing, ngramjoin, quality, substrings
-from tallygrid.llm.common import settle, table
+from tallygrid.llm.common import release, scratch_count, settle, table
 
 #: Near copies: five-word shingles, a similarity of 80 percent.
 SHINGLE, PERCENT = 5, 80
@@ -59,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mix. A stage's scratch tables, and its input, go when its result is written."""
+    docs, began = table(spark, sf_dir, "documents"), scratch_count()
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, began, but=f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

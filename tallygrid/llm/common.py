@@ -30,19 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The scratch tables that this process wrote and has not released.
+_written: list[str] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage: what follows survives lost executors without recomputing
-    what came before, and a frame used twice is computed once. The tables are
-    scratch of the job; whoever owns the folder clears it afterwards.
+    what came before, and a frame used twice is computed once. The tables stay
+    until ``release``, as a result may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallygrid/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+    """Deletes the scratch tables from the ``since``-th on, ``but`` for the newest of that name.
+
+    Only for when no result that reads them is still to be computed.
+    """
+    kept = next((x for x in reversed(_written) if but and f"/{but}-" in x), None)
+    for path in [x for x in _written[since:] if x != kept]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _written.remove(path)
+
+
+def scratch_count() -> int:
+    return len(_written)
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; -1 for a null key."""
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(-1))

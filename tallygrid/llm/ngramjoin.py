@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.llm.common import settle
@@ -40,6 +40,8 @@ AXES = 32
 LEAF = 128
 #: Rounds against one centre before leaves are paired.
 ROUNDS = 2
+#: Groups named beyond those that decide, by share, and groups beyond those named, so that few are empty.
+SLACK, SPARE = 0.15, 1.1
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -64,34 +66,45 @@ def _apart(total: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(total * (100 - percent) / (100 + percent) + 1e-9)
 
 
-def group_counts(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The numbers of groups that documents of these sizes take part with, and how many groups may differ.
+class Roles:
+    """How documents of these sizes take part in the buckets: ``number`` of groups (0: not at all), how
+    many groups may ``differ`` in a linked pair, how many are ``named``, and how many must be ``shared``."""
+
+    def __init__(self, number: np.ndarray, differ: np.ndarray, percent: int):
+        self.number, self.differ = number, differ
+        self.named = _named(differ)
+        self.shared = np.floor(SLACK * percent / 100 * differ + 1e-9).astype(np.int64) + 1
 
-    The smaller of a pair sets the number: more than may differ from its largest partner. Numbers
-    are powers of two, so that most documents have one number both as smaller and as larger.
-    """
-    def number(a: np.ndarray) -> np.ndarray:
-        return (2 ** np.ceil(np.log2(_apart(a + np.floor(a * 100 / percent), percent) + 1))).astype(np.int64)
 
-    own, least = number(size), np.ceil(size * percent / 100 - 1e-9)
-    below = number(least)
-    # as the larger one, the partner is the largest that takes the lower number, or less
-    partner = np.floor(below * (100 + percent) / (100 - percent) / (1 + 100 / percent) + 1)
-    return [
-        (own, np.minimum(own - 1, _apart(size + np.floor(size * 100 / percent), percent))),
-        (np.where(below < own, below, 0), np.minimum(below - 1, _apart(size + np.minimum(partner, size), percent))),
-    ]
+def _named(differ: np.ndarray) -> np.ndarray:
+    return np.ceil((1 + SLACK) * (differ + 1) - 1e-9).astype(np.int64)
 
 
-def _index(batch: pa.RecordBatch, k: int, percent: int) -> pa.RecordBatch:
-    """(doc_id, n, h1, h2, keys) of every text: set size, set hash, and a hash of each group's content.
+def roles(size: np.ndarray, percent: int) -> list[Roles]:
+    """As the smaller of a pair, or one of like size, and as the larger one of a pair with fewer groups.
 
-    Two sets may agree only in empty groups, but not if fewer are empty than must
-    agree; so a document names its empty groups only when it has that many.
+    The smaller of a pair sets the number of groups, from what may differ to its largest
+    partner. Numbers are powers of two, so most documents have one for both roles. Of the
+    groups that aren't empty in both, the first ``named`` ones of the smaller count differ in
+    ``differ`` at most; the rest of them are equal, and both documents name those.
     """
+    def widest(a: np.ndarray) -> np.ndarray:
+        return _apart(a + np.floor(a * 100 / percent), percent)
+
+    def number(a: np.ndarray) -> np.ndarray:
+        apart = widest(a)
+        groups = 2 ** np.ceil(np.log2(SPARE * _named(apart)) - 1e-9)
+        return np.where(apart > 0, groups, 0).astype(np.int64)  # where nothing may differ only equal sets link
+
+    own, below = number(size), number(np.ceil(size * percent / 100 - 1e-9))
+    most = np.floor(np.floor(below / SPARE + 1e-9) / (1 + SLACK) + 1e-9) - 1
+    return [Roles(own, widest(size), percent), Roles(np.where(below < own, below, 0), np.maximum(np.minimum(most, _apart(2 * size, percent)), 0), percent)]
+
+
+def _summary(batch: pa.RecordBatch, k: int, percent: int) -> pa.RecordBatch:
+    """(doc_id, n, h1, h2, groups, shared) of every text: set size, set hash, log2 of its number of groups, and needs by role."""
     values, own = shingle_sets(batch, k)
-    rows = batch.num_rows
-    n = np.bincount(own, minlength=rows)
+    n = np.bincount(own, minlength=batch.num_rows)
     ends = np.concatenate(([0], np.cumsum(n)))
 
     def summed(x: np.ndarray) -> np.ndarray:
@@ -100,34 +113,47 @@ def _index(batch: pa.RecordBatch, k: int, percent: int) -> pa.RecordBatch:
 
     content = mixed(values + MIX_A)
     h1, h2 = summed(content), summed(mixed(content + MIX_A))
-    keys, owners = [], []
-    for number, differ in group_counts(n, percent):
-        many = np.where((n > 0) & (number > 1), number, 0)  # with one group only equal sets link
-        base = np.cumsum(many) - many
-        inside = many[own] > 0
-        at = base[own[inside]] + ((values[inside] >> np.uint64(20)).astype(np.int64) & (many[own[inside]] - 1))
-        by = np.argsort(at, kind="stable")
-        at, x = at[by], content[inside][by]
-        sums, filled_in = np.zeros(int(many.sum()), np.uint64), np.zeros(int(many.sum()), bool)
-        if len(at):
-            cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            sums[at[cut]] = np.add.reduceat(x, cut)
-            filled_in[at[cut]] = True
-        owner = np.repeat(np.arange(rows), many)
-        empty = np.bincount(owner[~filled_in], minlength=rows)
-        named = filled_in | (empty >= many - differ)[owner]
-        name = (many[owner] << 20) + np.arange(len(sums)) - base[owner]
-        keys.append(mixed(sums + mixed(name.astype(np.uint64)))[named])
-        owners.append(owner[named])
-    owner = np.concatenate(owners)
-    by = np.argsort(owner, kind="stable")
-    counts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows))))
+    smaller, larger = roles(n, percent)
+    groups = np.log2(np.maximum(smaller.number, 1)).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.array(np.concatenate(keys)[by].view(np.int64)))],
-        names=["doc_id", "n", "h1", "h2", "keys"],
+        [batch.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(groups), pa.array(smaller.shared), pa.array(larger.shared)],
+        names=["doc_id", "n", "h1", "h2", "groups", "shared", "shared_below"],
     )
 
 
+def _keys(batch: pa.RecordBatch, k: int, percent: int) -> pa.RecordBatch:
+    """(doc_id, key): a hash of the content of each group that a document names, the number's log2 in its last five bits.
+
+    A document with too few groups that aren't empty names its empty ones too: they may be all that a pair shares.
+    """
+    values, own = shingle_sets(batch, k)
+    rows = batch.num_rows
+    n = np.bincount(own, minlength=rows)
+    content = mixed(values + MIX_A)
+    keys, owners = [], []
+    for role in roles(n, percent):
+        base = np.cumsum(role.number) - role.number
+        inside = role.number[own] > 0
+        at = base[own[inside]] + ((values[inside] >> np.uint64(20)).astype(np.int64) & (role.number[own[inside]] - 1))
+        by = np.argsort(at, kind="stable")
+        at, owner, x = at[by], own[inside][by], content[inside][by]
+        cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+        slot, owner, sums = at[cut], owner[cut], np.add.reduceat(x, cut) if len(cut) else x[:0]
+        full = np.bincount(owner, minlength=rows)
+        place = np.arange(len(slot)) - (np.cumsum(full) - full)[owner]
+        first = place < role.named[owner]
+        bare = np.flatnonzero((role.number > 0) & (full < role.named))
+        empty = np.setdiff1d(np.concatenate([np.arange(base[i], base[i] + role.number[i]) for i in bare] or [slot[:0]]), slot)
+        slot = np.concatenate((slot[first], empty))
+        owner = np.concatenate((owner[first], np.searchsorted(base + role.number, empty, side="right") if len(empty) else empty))
+        sums = np.concatenate((sums[first], np.zeros(len(empty), np.uint64)))
+        groups = role.number[owner]
+        key = mixed(sums + mixed((groups << 20 | slot - base[owner]).astype(np.uint64)))
+        keys.append(key & ~np.uint64(31) | np.log2(np.maximum(groups, 1)).astype(np.uint64))
+        owners.append(owner)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "key"])
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     """(doc_id, point, shingles) of every text."""
     values, own = shingle_sets(batch, k)
@@ -148,7 +174,7 @@ def _mapped(texts: DataFrame, cut, columns: str) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
-def _bound(a: str, b: str):
+def _bound(a: str, b: str) -> Column:
     """Shingles that two points, or any two points of two boxes with these upper corners, share at most."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
@@ -172,13 +198,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     links lead to, the document's own included.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    indexed = settle(_mapped(texts, lambda x: _index(x, k, percent), "n bigint, h1 bigint, h2 bigint, keys array<bigint>"), "join-index")
-    named = indexed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    summary = settle(_mapped(texts, lambda x: _summary(x, k, percent), "n bigint, h1 bigint, h2 bigint, groups int, shared bigint, shared_below bigint"), "join-summary")
+    named = summary.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     alike = settle(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("root")), "join-sets")
-    met = _memberships(named)
+    met = _memberships(_mapped(texts.filter(F.col("doc_id").isNotNull()), lambda x: _keys(x, k, percent), "key bigint"), named)
 
-    wanted = met.select(F.col("doc_id").alias("w")).distinct()
-    chosen = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("w"), "left_semi")
+    # few enough ids are broadcast by their size on disk; else texts are shuffled
+    wanted = settle(met.select(F.col("doc_id").alias("w")).distinct(), "join-wanted")
+    chosen = texts.join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = settle(_mapped(chosen, lambda x: _sets(x, k), "point array<int>, shingles array<bigint>"), "join-points")
 
     found = None
@@ -189,19 +216,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     tops = _tops(alike, found)
     same = (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("n") == F.col("sn"))
-    result = indexed.select("doc_id", "n", "h1", "h2").join(tops, same & F.col("doc_id").isNotNull(), "left")
+    result = summary.select("doc_id", "n", "h1", "h2").join(tops, same & F.col("doc_id").isNotNull(), "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id"))
 
 
-def _memberships(named: DataFrame) -> DataFrame:
-    """(key, doc_id, n): the first document of every set in the buckets where different sets meet."""
-    exploded = named.select(F.explode("keys").alias("key"), "doc_id")
-    twice = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(F.col("key").alias("live"))
-    met = settle(exploded.join(settle(twice, "join-live"), F.col("key") == F.col("live")).select("key", "doc_id"), "join-all")
-    own = named.select(F.col("doc_id").alias("o"), "h1", "h2", "n")
-    heads = settle(met.join(own, F.col("doc_id") == F.col("o")).groupBy("key", "h1", "h2", "n").agg(F.min("doc_id").alias("doc_id")), "join-heads")
-    several = settle(heads.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(F.col("key").alias("live")), "join-live")
-    return settle(heads.join(several, F.col("key") == F.col("live")).select("key", "doc_id", "n"), "join-met")
+def _memberships(keys: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, doc_id, n): the first document of every set in the buckets where different sets meet.
+
+    A document that shares fewer groups, with whomever, than a linked pair must is left out.
+    """
+    twice = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(F.col("key").alias("live")), "join-live")
+    met = keys.join(twice, F.col("key") == F.col("live")).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    own = named.select(F.col("doc_id").alias("o"), "h1", "h2", "n", "groups", "shared", "shared_below")
+    met = met.join(own, F.col("doc_id") == F.col("o")).withColumn("keys", _enough(F.col("keys"))).filter(F.size("keys") > 0)
+    met = met.select("doc_id", "h1", "h2", "n", "groups", "shared", "shared_below", F.explode("keys").alias("key"))
+    attributes = [F.first(c).alias(c) for c in ("groups", "shared", "shared_below")]  # the same for one set
+    heads = settle(met.groupBy("key", "h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), *attributes), "join-heads")
+    # copies of one set don't meet each other: once more, among different sets
+    several = settle(heads.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(F.col("key").alias("live")), "join-several")
+    met = heads.join(several, F.col("key") == F.col("live")).groupBy("doc_id", "n", "h1", "h2", "groups", "shared", "shared_below").agg(F.collect_list("key").alias("keys"))
+    return settle(met.select("doc_id", "n", F.explode(_enough(F.col("keys"))).alias("key")), "join-met")
+
+
+def _enough(keys: Column) -> Column:
+    """The keys of the roles in which a document shares enough groups."""
+    own, below = (F.filter(keys, lambda x: x.bitwiseAND(31) == F.col("groups")), F.filter(keys, lambda x: x.bitwiseAND(31) != F.col("groups")))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.when(F.size(own) >= F.col("shared"), own).otherwise(none), F.when(F.size(below) >= F.col("shared_below"), below).otherwise(none))
 
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
