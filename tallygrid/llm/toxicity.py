@@ -72,6 +72,14 @@ def terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield code[:count][good], own[:count][good]
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in slices, each with the index of its first."""
+    start = 0
+    for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+        yield start, part.column("text")
+        start += part.num_rows
+
+
 class Lookup:
     """From term codes to numbers: a bit table first, then an exact search."""
 
@@ -87,12 +95,13 @@ class Lookup:
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term number, frequency), by text and term."""
         found, width = [np.zeros(0, np.int64)], len(self.codes)
-        for code, own in terms(texts):
-            hit = self.may[self._slot(code)]
-            code, own = code[hit], own[hit]
-            at = np.minimum(np.searchsorted(self.codes, code), width - 1)
-            same = self.codes[at] == code
-            found.append(own[same].astype(np.int64) * width + at[same])
+        for start, part in _parts(texts):
+            for code, own in terms(part):
+                hit = self.may[self._slot(code)]
+                code, own = code[hit], own[hit]
+                at = np.minimum(np.searchsorted(self.codes, code), width - 1)
+                same = self.codes[at] == code
+                found.append((own[same].astype(np.int64) + start) * width + at[same])
         keys, n = np.unique(np.concatenate(found), return_counts=True)
         return keys // width, keys % width, n
 
@@ -197,19 +206,20 @@ def _curve(votes: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float
 
 def chosen_terms(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     """The codes of the TERMS terms that tell the labels apart best."""
+    codes, a, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start, some in _parts(texts):
+        for code, own in terms(some):
+            code, inverse = np.unique(code, return_inverse=True)
+            pair = np.unique(inverse * len(some) + own)
+            each, label = pair // len(some), y[start + pair % len(some)]
+            # orders never share a code: shorter ones have zero bytes above
+            merged, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
+            a = np.bincount(at, np.concatenate((a, np.bincount(each, label, len(code)))), len(merged))
+            total = np.bincount(at, np.concatenate((total, np.bincount(each, minlength=len(code)))), len(merged))
+            codes = merged
+    enough = total >= LEAST_EXAMPLES
+    codes, a, total = codes[enough], a[enough], total[enough]
     positive, rows = y.sum(), len(y)
-    known = []
-    for code, own in terms(texts):
-        codes, inverse = np.unique(code, return_inverse=True)
-        pair = np.sort(inverse * rows + own)
-        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair
-        total = np.bincount(pair // rows, minlength=len(codes))
-        enough = total >= LEAST_EXAMPLES
-        known.append((codes[enough], np.bincount(pair // rows, y[pair % rows], len(codes))[enough], total[enough]))
-    if not known:
-        return np.zeros(0, np.uint64)
-    # orders never share a code: shorter ones have zero bytes above
-    codes, a, total = (np.concatenate(x) for x in zip(*known))
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
