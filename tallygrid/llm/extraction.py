@@ -46,11 +46,14 @@ PARTS = set(
     "footer foot colophon copyright legal disclaimer header masthead contentinfo skip search searchbox "
     "comment comments commentlist disqus discussion respond reply replies reactions review reviews feedback "
     "share sharing social follow related recommended recommendations trending popular teaser teasers outbrain taboola "
-    "newsletter subscribe subscription signup login register form popup modal overlay lightbox widget widgets pagination pager tags".split()
+    "newsletter subscribe subscription signup login register form popup modal overlay lightbox pagination pager tags".split()
 )
-#: What may stand after such a word without changing the part, and words that take the sense away before it.
+#: Words that make a name the article's after all when they close it, that take the sense away, and states that are no parts.
 CONTENT = set("article body content entry main page post story text wrapper container layout".split())
-WITHOUT = set("has with no without is js".split())
+WITHOUT = set("has with no without is js tag category type format status".split())
+STATES = set("open closed enabled disabled on off active".split())
+#: What a title's box is called.
+TITLES = set("header masthead".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -64,11 +67,17 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LEGAL = re.compile(r"\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
 
 
-def _names_part(value: str) -> bool:
-    """Whether a class, id or role value names a part that isn't the article."""
+def _names_part(value: str, marked: bool, single: bool) -> bool:
+    """Whether a class, id or role value names a part that isn't the article.
+
+    ``marked``: inside an article, where headers hold its title. ``single``: names of
+    several words don't count, as articles carry those of their topics and states.
+    """
     for name in value.split():
         words = [w.lower() for w in NAME_PARTS.findall(name)]
-        if not words or words[0] in WITHOUT:
+        if not words or WITHOUT & set(words) or words[-1] in STATES or single and len(words) > 1:
+            continue
+        if words[-1] in TITLES and (marked or len(words) > 1 and words[0] in CONTENT):
             continue
         if words[-1] in PARTS or words[0] in PARTS and not (len(words) > 1 and words[-1] in CONTENT):
             return True
@@ -85,9 +94,7 @@ def set_apart(name: str, rest: str, marked: bool) -> bool:
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and _names_part(value):
-            if name == "header" and marked or name == "main":
-                continue
+        if key in ("class", "id", "role") and name != "main" and _names_part(value, marked, name == "article"):
             return True
     return False
 

@@ -154,6 +154,8 @@ ARTICLE = "A paragraph that is long enough to weigh something in any window of l
     (f"<div class='topbar'>{ARTICLE}</div><div><h2>Head</h2><p>{ARTICLE}</p><p>Short.</p></div><div class='cookie-notice'>{ARTICLE}</div><p>© 2020 X</p>", f"Head\n{ARTICLE}\nShort."),
     (f"<ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul><p>{ARTICLE}</p>", ARTICLE),
     (f"<article><table><tr><td>a</td><td>b</td></tr></table><p hidden>x</p><p style='display: none'>y</p><p>{ARTICLE}  \n z&nbsp;&#65;</p></article>", f"a b\n{ARTICLE} z A"),
+    (f"<article class='post comments-open tag-popular'><div class='entry-header'><h1>T</h1></div><div class='post-with-sidebar'><p>{ARTICLE}</p></div><div class='post-comments'>c</div></article>", f"T\n{ARTICLE}"),
+    (f"<body class='has-sidebar'><div id='page-content'><div class='elementor-widget'><p>{ARTICLE}</p></div></div><div role='navigation'>{ARTICLE}</div><ol class='commentlist'><li>{ARTICLE}</ol>", ARTICLE),
 ])
 def test_extraction(spark, page, text):
     assert extraction.main_text(page) == text
