@@ -36,7 +36,8 @@ from tallygrid.llm.common import settle
 from tallygrid.llm.components import components
 from tallygrid.llm.words import MIX_A, Runs, filled, mixed, slices, split_words, text_of, word_hashes
 
-AXES = 32
+#: A power of two. Too few axes make the minima of unrelated sets add up to most of their sizes.
+AXES = 64
 LEAF = 128
 #: Rounds against one centre before leaves are paired.
 ROUNDS = 2
@@ -159,7 +160,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     values, own = shingle_sets(batch, k)
     rows = batch.num_rows
     ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=rows)))).astype(np.int32)
-    axis = (values >> np.uint64(59)).astype(np.int64)
+    axis = (values >> np.uint64(64 - (AXES - 1).bit_length())).astype(np.int64)
     point = np.bincount(own * AXES + axis, minlength=rows * AXES).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * AXES), pa.array(point)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))],
