@@ -1,23 +1,34 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are byte n-grams inside words (a space marks a word's start and end) that the
-labelled sample ties to a label: most ties by the log-likelihood ratio, of terms in
-at least three examples. Examples are unit vectors of term frequency (logarithmic)
-times inverse document frequency, in an inverted index cut into blocks of examples.
-Each term keeps the largest weight of every block, so a query bounds a block's best
+Terms are byte n-grams inside words (a space marks a word's start and end). Examples
+are unit vectors of term frequency (logarithmic) times inverse document frequency,
+and two indexes hold them.
+
+The whole index has every term of every example: no term is cut by its count, its
+label or its rank. The documents that hold a term are counted over all documents.
+Cosines with all examples are computed in full, by a matrix product for the most
+frequent terms and by posting lists for the rest, and a text's norm counts all its
+terms. A term that no example has isn't counted over the documents; it weighs, in
+norms only, as if in one document.
+
+The tied index holds the ``TERMS`` terms that the labelled sample ties to a label
+most, by the log-likelihood ratio, of those in at least ``LEAST_EXAMPLES`` examples; its
+document frequencies are the sample's. Its postings are cut into blocks of examples:
+each term keeps the largest weight of every block, so a query bounds a block's best
 cosine by one sum; blocks are scored exactly, best bound first, until no bound can
-pass the ``NEAREST``-th cosine found. Nothing is approximated.
+pass the ``NEAREST``-th cosine found. It adds voters, and isn't the text's cosine.
 
-The nearest vote for their labels with squared cosine, against a prior vote. A
-logistic curve fitted to the votes of the examples themselves, each left out of its
-own search, makes the vote a probability; the examples found are the evidence.
+The nearest of both indexes vote for their labels with squared cosine, against a prior
+vote. A logistic curve fitted to the votes of the examples themselves, each left
+out of its own searches, makes the vote a probability; the examples found are the
+evidence, those of the tied index first.
 
 The driver gets at most about ``sample`` labelled texts per label, chosen by a hash
-of the id; the model holds their vectors in the kept terms only.
+of the id, and one count for each of their terms.
 
-Defined results: a text without kept terms, empty and null ones included, has no
-neighbours and gets the curve's score for the prior; each row gives one row,
-repeated rows equal ones; ties in cosine go to the smaller id; rows without label
+Defined results: a text without terms of an index, empty and null ones included, has
+no neighbours there, and without any gets the curve's score for the prior; each row
+gives one row, repeated rows equal ones; ties in cosine go to the smaller id; rows without label
 or with a null id are not learnt from; with one label missing every score is the
 share of toxic labels (0 without labels); an empty table gives an empty result;
 extra columns are ignored.
@@ -25,7 +36,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +54,8 @@ LEAST_EXAMPLES = 3
 BLOCK = 32
 NEAREST = 15
 FILTER_BITS = 20
+#: The whole index's most frequent terms, scored by a matrix product; texts and postings scored together. Speed and memory only.
+FREQUENT, TOGETHER, ROOM = 4096, 256, 1 << 20
 HASHER = np.uint64(0x9E3779B97F4A7C15)
 
 _FOLDED = np.arange(256, dtype=np.uint8)
@@ -80,6 +93,130 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start += part.num_rows
 
 
+def frequencies(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place of the term in the codes, frequency, distinct codes), for parts of the texts and each order."""
+    for start, part in _parts(texts):
+        for code, own in terms(part):
+            if len(code):
+                by = np.argsort(code, kind="stable")  # texts stay in order within a code
+                code, own = code[by], own[by]
+                new = np.concatenate(([True], code[1:] != code[:-1]))
+                first = np.flatnonzero(new | np.concatenate(([True], own[1:] != own[:-1])))
+                new = new[first]
+                yield own[first] + start, np.cumsum(new) - 1, np.diff(np.append(first, len(code))), code[first[new]]
+
+
+def numbers(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted code in the sorted codes, or -1."""
+    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return np.where(codes[at] == wanted, at, -1)
+
+
+class Whole:
+    """The index of all terms of the examples, which stand by id."""
+
+    def __init__(self, texts: pa.Array, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None):
+        self.rows = len(texts)
+        self.codes = np.zeros(0, np.uint64)
+        for *_, code in frequencies(texts):
+            self.codes = np.union1d(self.codes, code)
+        count = np.zeros(len(self.codes), np.int64)
+        parts, squares = [], np.zeros(self.rows)
+        for row, at, n, code in frequencies(texts):
+            term = numbers(self.codes, code)[at].astype(np.int32)
+            count += np.bincount(term, minlength=len(count))
+            parts.append((row.astype(np.int32), term, (1 + np.log(n)).astype(np.float32)))
+        df, total = frequency(self.codes) if frequency else (count, self.rows)
+        self.idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+        self.rare = np.float32(np.log((1 + total) / 2) + 1)
+        for row, term, weight in parts:
+            weight *= self.idf[term]
+            squares += np.bincount(row, weight.astype(float) ** 2, self.rows)
+        for row, _, weight in parts:
+            weight /= np.sqrt(squares)[row]
+        term = np.concatenate([x[1] for x in parts])
+        by = np.argsort(term, kind="stable").astype(np.int32)
+        del term
+        self.example = np.concatenate([x[0] for x in parts])[by]
+        self.weight = np.concatenate([x[2] for x in parts])[by]
+        self.ends = np.concatenate(([0], np.cumsum(count)))
+        self._build()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "matrix")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._build()
+
+    def _build(self) -> None:
+        count = np.diff(self.ends)
+        top = np.sort(np.argsort(-count, kind="stable")[:FREQUENT])
+        self.place = np.full(len(count), -1, np.int32)
+        self.place[top] = np.arange(len(top))
+        self.matrix = np.zeros((len(top), self.rows), np.float32)
+        for i, t in enumerate(top):
+            at = slice(self.ends[t], self.ends[t + 1])
+            self.matrix[i, self.example[at]] = self.weight[at]
+
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term number, frequency, weight) of the texts' terms that examples have, by text; norms are over all terms."""
+        found, squares = [], np.zeros(len(texts))
+        for row, at, n, code in frequencies(texts):
+            number = numbers(self.codes, code)
+            idf = np.where(number >= 0, self.idf[number], self.rare)
+            weight = (1 + np.log(n)) * idf[at]
+            squares += np.bincount(row, weight**2, len(texts))
+            known = number[at] >= 0
+            found.append((row[known], number[at[known]], n[known], weight[known]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        row, term, n, weight = (np.concatenate(x) for x in zip(*found))
+        by = np.argsort(row.astype(np.uint16) if len(texts) < 1 << 16 else row, kind="stable")
+        row, term, n = row[by], term[by], n[by]
+        return row, term, n, (weight[by] / np.sqrt(squares)[row]).astype(np.float32)
+
+    def cosines(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first text, cosines of some texts from it on with every example)."""
+        place = self.place[term]
+        many = np.where(place < 0, self.ends[term + 1] - self.ends[term], 0)
+        cut = np.searchsorted(row, np.arange(rows + 1))
+        load = np.concatenate(([0], np.cumsum(many)))[cut]
+        start = 0
+        while start < rows:
+            end = max(start + 1, min(start + TOGETHER, rows, int(np.searchsorted(load, load[start] + ROOM, "right")) - 1))
+            k = np.arange(cut[start], cut[end])
+            frequent, k = k[place[k] >= 0], k[place[k] < 0]
+            query = np.zeros((end - start, len(self.matrix)), np.float32)
+            query[row[frequent] - start, place[frequent]] = weight[frequent]
+            found = query @ self.matrix
+            long = many[k]
+            at = np.repeat(self.ends[term[k]] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+            pair = np.repeat((row[k] - start) * self.rows, long) + self.example[at]
+            found += np.bincount(pair, np.repeat(weight[k], long) * self.weight[at], found.size).reshape(found.shape)
+            yield start, found
+            start = end
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, besides: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of each text's nearest with a positive cosine, best first. ``besides``: the texts are the examples from that one on, none its own."""
+        for start, found in self.cosines(row, term, weight, rows):
+            found = np.round(found, 6)
+            if besides >= 0:
+                found[np.arange(len(found)), besides + start + np.arange(len(found))] = 0
+            least = np.partition(found, -NEAREST, 1)[:, -NEAREST] if self.rows > NEAREST else np.zeros(len(found))
+            for one, floor in zip(found, least):
+                use = np.flatnonzero((one >= floor) & (one > 0))
+                best = use[np.lexsort((use, -one[use]))[:NEAREST]]
+                yield best, one[best]
+
+    def leave_out(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest of the examples' texts, each besides itself; few at a time, as this runs on the driver."""
+        for start in range(0, len(texts), 64):
+            part = texts.slice(start, 64)
+            row, term, _, weight = self.vectors(part)
+            yield from self.nearest(row, term, weight, len(part), start)
+
+
 class Lookup:
     """From term codes to numbers: a bit table first, then an exact search."""
 
@@ -94,11 +231,13 @@ class Lookup:
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term number, frequency), by text and term."""
-        found, width = [np.zeros(0, np.int64)], len(self.codes)
+        found, width = [np.zeros(0, np.int64)], max(len(self.codes), 1)
         for start, part in _parts(texts):
             for code, own in terms(part):
                 hit = self.may[self._slot(code)]
                 code, own = code[hit], own[hit]
+                if not len(code):
+                    continue
                 at = np.minimum(np.searchsorted(self.codes, code), width - 1)
                 same = self.codes[at] == code
                 found.append((own[same].astype(np.int64) + start) * width + at[same])
@@ -107,9 +246,10 @@ class Lookup:
 
 
 class Neighbours:
-    """The block-max index of the examples, and the calibrated vote."""
+    """The block-max index of the examples in the tied terms, the whole index, and the calibrated vote."""
 
-    def __init__(self, codes: np.ndarray, texts: pa.Array, ids: np.ndarray, labels: np.ndarray, prior: float):
+    def __init__(self, codes: np.ndarray, texts: pa.Array, ids: np.ndarray, labels: np.ndarray, prior: float, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None):
+        self.all_ids, self.all_labels, self.whole = ids, labels.astype(float), Whole(texts, frequency)
         self.prior, self.lookup, rows = prior, Lookup(codes), len(ids)
         row, term, n = self.lookup.counts(texts)
         self.idf = np.log((1 + rows) / (1 + np.bincount(term, minlength=len(self.lookup.codes)))) + 1
@@ -127,9 +267,14 @@ class Neighbours:
         by = np.lexsort((term, place[row]))
         self.postings = place[row][by], term[by], weight[by]
         self._build()
-        blank = labels[heaviest < 0].astype(float)
-        votes = np.array([self.vote(near, cosine) for near, cosine in self._leave_out()] + [prior] * len(blank))
-        self.curve = _curve(votes, np.concatenate((self.labels, blank)), prior)
+        # in the tied terms, numbered as in the whole index
+        self.tied = numbers(self.lookup.codes, self.whole.codes) if len(self.lookup.codes) else np.full(len(self.whole.codes), -1)
+        voters = [(np.zeros(0), np.zeros(0))] * rows
+        for i, (near, cosine) in zip(order, self._leave_out()):
+            voters[i] = self.labels[near], cosine
+        far = self.whole.leave_out(texts)
+        votes = np.array([self.vote(np.append(y, self.all_labels[near]), np.append(c, cosine)) for (y, c), (near, cosine) in zip(voters, far)])
+        self.curve = _curve(votes, self.all_labels, prior)
 
     def __getstate__(self):
         """The dense form is built again where it is used: what travels is the postings."""
@@ -168,9 +313,9 @@ class Neighbours:
                 best, value = best[top], value[top]
         return best, value
 
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
+    def vote(self, labels: np.ndarray, cosine: np.ndarray) -> float:
         weight = cosine.astype(float) ** 2
-        return float((weight @ self.labels[near] + 0.1 * self.prior) / (weight.sum() + 0.1))
+        return float((weight @ labels + 0.1 * self.prior) / (weight.sum() + 0.1))
 
     def _leave_out(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         row, term, weight = self.postings
@@ -179,15 +324,25 @@ class Neighbours:
             yield self.nearest(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], i)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
-        """(scores, evidence) of the texts; evidence is (id, label, cosine) of the examples that voted."""
-        row, term, n = self.lookup.counts(texts)
-        weight = self._unit(row, term, n, len(texts))
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
-        votes, evidence = np.full(len(texts), self.prior), [[] for _ in range(len(texts))]
+        """(scores, evidence) of the texts; evidence is (id, label, cosine, terms) of the examples that voted."""
+        row, term, n, whole = self.whole.vectors(texts)
+        evidence: list[list[dict]] = [[] for _ in range(len(texts))]
+
+        def heard(i: int, kind: str, ids: np.ndarray, labels: np.ndarray, cosine: np.ndarray) -> None:
+            evidence[i] += [{"id": d, "label": int(y), "cosine": float(c), "terms": kind} for d, y, c in zip(ids.tolist(), labels, cosine)]
+
+        tied = self.tied[term]
+        some = tied >= 0
+        by = np.lexsort((tied[some], row[some]))
+        t_row, t_term, t_n = row[some][by], tied[some][by], n[some][by]
+        weight = self._unit(t_row, t_term, t_n, len(texts))
+        cut = np.searchsorted(t_row, np.arange(len(texts) + 1))
         for i in np.flatnonzero(np.diff(cut)):
-            near, cosine = self.nearest(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
-            votes[i] = self.vote(near, cosine)
-            evidence[i] = [{"id": self.ids[j : j + 1].tolist()[0], "label": int(self.labels[j]), "cosine": float(c)} for j, c in zip(near, cosine)]
+            near, cosine = self.nearest(t_term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
+            heard(i, "tied", self.ids[near], self.labels[near], cosine)
+        for i, (near, cosine) in enumerate(self.whole.nearest(row, term, whole, len(texts))):
+            heard(i, "all", self.all_ids[near], self.all_labels[near], cosine)
+        votes = np.array([self.vote(np.array([e["label"] for e in x]), np.array([e["cosine"] for e in x])) for x in evidence])
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * votes + b, -500, 500))), evidence
 
@@ -229,11 +384,38 @@ def chosen_terms(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     return codes[strong[np.lexsort((codes[strong], -tie[strong]))[:TERMS]]]
 
 
-def fit(texts: pa.Array, ids: np.ndarray, y: np.ndarray, prior: float) -> Neighbours | float:
+def fit(texts: pa.Array, ids: np.ndarray, y: np.ndarray, prior: float, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> Neighbours | float:
+    """``frequency``: how many documents have each of some sorted codes, and how many there are; by default the examples'."""
     if not len(y) or y.min() == y.max():
         return prior
-    codes = chosen_terms(texts, y)
-    return Neighbours(codes, texts, ids, y, prior) if len(codes) else prior
+    if next(frequencies(texts), None) is None:
+        return prior
+    by = np.argsort(ids, kind="stable")
+    texts, ids, y = texts.take(pa.array(by)), ids[by], y[by]
+    return Neighbours(chosen_terms(texts, y), texts, ids, y, prior, frequency)
+
+
+def document_frequencies(rows: DataFrame, codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows have each of the sorted codes as a term, and how many rows there are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(len(codes), np.int64), 0
+        for batch in slices(batches):
+            total += batch.num_rows
+            for _, at, _, code in frequencies(filled(batch.column("text"))):
+                number = numbers(codes, code)
+                found = number >= 0
+                count[number[found]] += np.bincount(at, minlength=len(code))[found]
+        some = np.flatnonzero(count)
+        for a in range(0, len(some), 1 << 16):
+            part = some[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[part])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], names=["term", "n"])
+
+    got = rows.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").cast("bigint").alias("n")).toArrow()
+    term, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    df = np.zeros(len(codes), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1_200) -> Neighbours | float:
@@ -242,7 +424,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen, counts = labelled(rows, labels, label_col, id_col, 5, 0, sample)
     got = chosen.toPandas().sort_values(["doc_id", "label"])
     total = sum(counts.values())
-    return fit(filled(pa.array(got["text"].tolist(), pa.string())), got["doc_id"].to_numpy(), got["label"].to_numpy(dtype=np.int64), counts.get(1, 0) / total if total else 0.0)
+    texts = filled(pa.array(got["text"].tolist(), pa.string()))
+    return fit(texts, got["doc_id"].to_numpy(), got["label"].to_numpy(dtype=np.int64), counts.get(1, 0) / total if total else 0.0, lambda codes: document_frequencies(rows, codes))
 
 
 def score(docs: DataFrame, model: Neighbours | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,8 +439,8 @@ def score(docs: DataFrame, model: Neighbours | float, id_col: str = "doc_id", te
                 s, why = model.score(filled(batch.column("text")))
             else:
                 s, why = np.full(batch.num_rows, float(model)), [[]] * batch.num_rows
-            evidence = pa.list_(pa.struct([("id", batch.column("doc_id").type), ("label", pa.int32()), ("cosine", pa.float64())]))
+            evidence = pa.list_(pa.struct([("id", batch.column("doc_id").type), ("label", pa.int32()), ("cosine", pa.float64()), ("terms", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(why, evidence)], names=["doc_id", "score", "predicted", "evidence"])
 
-    found = rows.mapInArrow(run, f"doc_id {key}, score double, predicted int, evidence array<struct<id: {key}, label: int, cosine: double>>")
+    found = rows.mapInArrow(run, f"doc_id {key}, score double, predicted int, evidence array<struct<id: {key}, label: int, cosine: double, terms: string>>")
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "evidence")

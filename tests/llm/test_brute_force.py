@@ -275,6 +275,35 @@ def test_block_bounds_lose_no_neighbour():
         assert np.allclose(best, cosine, atol=3e-6)
 
 
+def test_neighbours_are_over_all_terms(spark):
+    rng = random.Random(8)
+    same = "quaintly singular wording"  # in one example only, so tied to no label
+    words = [f"plain{chr(97 + i)}word" for i in range(20)]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) + (" awfulness" if i % 3 == 0 else "") for i in range(120)] + [same]
+    unlabelled = [same] + ["awfulness " + same, None, "zz"] * 4
+    y = np.array([int(i % 3 == 0) for i in range(120)] + [1])
+    docs = frame(spark, texts + unlabelled)
+    labels = spark.createDataFrame([(i, int(b)) for i, b in enumerate(y)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    learnt = [i for i in range(121) if zlib.crc32(str(i).encode()) % 5]
+    assert learnt[-1] == 120 and model.all_ids.tolist() == learnt
+    counts = lambda t: Counter(bytes(w[i : i + n]) for w in (b" " + v + b" " for v in (t or "").encode().split()) for n in toxicity.ORDERS for i in range(len(w) - n + 1) if b" " not in w[1:-1])
+    every = [counts(t) for t in texts + unlabelled]
+    df, known = Counter(g for c in every for g in c), {g for i in learnt for g in every[i]}
+    assert len(model.whole.codes) == len(known)
+    vector = lambda c: {g: (1 + np.log(n)) * (np.log((1 + len(every)) / (1 + (df[g] if g in known else 1))) + 1) for g, n in c.items()}
+    unit = lambda v: {g: x / np.sqrt(sum(z * z for z in v.values())) for g, x in v.items()}
+    examples = {i: unit(vector(every[i])) for i in learnt}
+    got = {r["doc_id"]: [e for e in r["evidence"] if e["terms"] == "all"] for r in toxicity.score(docs, model).collect()}
+    for i in [*range(0, 121, 10), 121, 122, 123, 124]:
+        query = unit(vector(every[i]))
+        cosine = {j: sum(x * e.get(g, 0) for g, x in query.items()) for j, e in examples.items()}
+        best = sorted((c for c in cosine.values() if c > 1e-6), reverse=True)[: toxicity.NEAREST]
+        assert np.allclose([e["cosine"] for e in got[i]], best, atol=3e-6)
+        assert all(abs(e["cosine"] - cosine[e["id"]]) < 3e-6 for e in got[i])
+    assert (got[121][0]["id"], got[121][0]["label"]) == (120, 1) and abs(got[121][0]["cosine"] - 1) < 3e-6
+
+
 def test_classifiers_without_labels(spark):
     docs, labels = lexicon(spark, 40)
     none, one = labels.limit(0), labels.filter("toxic = 0")
