@@ -4,13 +4,14 @@ Markup is stripped to lines, one for each block element's own text, and every li
 gets a weight: its text length, less what is link text, and nothing inside menus,
 headers, footers, sidebars, notices, adverts, forms, comments and other parts that
 tags, roles, class names or hiding set apart, or in lines that are one link. In a page that marks its article (an
-article or main element), only lines in there weigh anything.
+article or main element), lines in there weigh more by a bonus that is no surge by itself, and the others nothing,
+unless the others hold more text: then all have their own weights.
 
 Weights are summed over sliding windows of ``WINDOW`` lines. The main text starts
 where the sums surge over a threshold, from the first line of weight in that
-window, and ends where they dive to zero; lines in between are kept, but for those
-set apart. Inside a marked article every line of weight counts as if long, so that
-short paragraphs don't end it.
+window (lines set apart, or outside the marked article, are in no window), and ends where they dive to zero; lines in between are kept, but for those
+set apart. A single line that is one link stays in a marked article's text, as links in
+the text do; several in a row are a list.
 
 Defined results: null, empty and textless pages have empty text; unclosed elements
 and comments reach to the end of their surroundings; each row gives one row,
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.words import slices
 
-#: Lines in a window, the sum of weights that makes a surge, and the weight at least of a line in a marked article.
-WINDOW, SURGE, MARKED = 3, 80, 100
+#: Lines in a window, the sum of weights that makes a surge, and what a line of weight in a marked article weighs more.
+WINDOW, SURGE, BONUS = 3, 80, 25
 
 # Names of HTML elements.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video", "xmp")
@@ -179,15 +180,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     """The article's lines."""
-    lines = lines_of(page or "")
-    marked = any(inside and not apart for _, _, inside, apart in lines)
-    if marked:
-        usable = [inside and not apart for _, _, inside, apart in lines]
-        weights = [max(len(text), MARKED) * use for (text, *_), use in zip(lines, usable)]
+    lines = [x for x in lines_of(page or "") if not x[3]]  # parts set apart don't end the text
+    # a line that is one link is a menu's, wherever it stands
+    links = [linked >= 0.9 * len(text) for text, linked, *_ in lines]
+    own = [0 if link else max(len(text) - 2 * linked, 0) for (text, linked, *_), link in zip(lines, links)]
+    legal = [LEGAL.match(text) is not None for text, *_ in lines]
+    held = sum(w for w, (_, _, inside, _) in zip(own, lines) if inside)
+    others = sum(w for w, (_, _, inside, _), law in zip(own, lines, legal) if not inside and not law)
+    if held and held >= others:
+        lists = [a and (b or c) for a, b, c in zip(links, [False, *links], [*links[1:], False])]
+        usable = [not many for (_, _, inside, _), many in zip(lines, lists) if inside]
+        lines, own = [x for x in lines if x[2]], [w for w, x in zip(own, lines) if x[2]]
+        weights = [(w + BONUS) * (use and w > 0) for w, use in zip(own, usable)]
     else:
-        # a line that is one link is a menu's, wherever it stands
-        usable = [not apart and linked < 0.9 * len(text) and not LEGAL.match(text) for text, linked, _, apart in lines]
-        weights = [max(len(text) - 2 * linked, 0) * use for (text, linked, *_), use in zip(lines, usable)]
+        usable = [not link and (inside or not law) for (_, _, inside, _), link, law in zip(lines, links, legal)]
+        weights = [w * use for w, use in zip(own, usable)]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     surge = min(SURGE, max(sums, default=0))
     kept, inside = [], False

@@ -161,6 +161,16 @@ def test_extraction(spark, page, text):
     assert extraction.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><article><p>Card.</p></article>", f"{ARTICLE}\n{ARTICLE}\nCard."),
+    (f"<article><p>{ARTICLE}</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></article>", ARTICLE),
+    (f"<article><p>{ARTICLE}</p><p><a>A link</a></p><p>{ARTICLE}</p></article><p>Outside.</p>", f"{ARTICLE}\nA link\n{ARTICLE}"),
+    (f"<article><p>Print</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>{ARTICLE}</p></article>", ARTICLE),
+])
+def test_extraction_of_marked_pages_weighs_text(page, text):
+    assert extraction.main_text(page) == text
+
+
 def test_extraction_of_frames(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (3, "v", "<article>" + "<p>é" * 50_000)], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("c"))
     got = sorted([(r["page_id"], r["url"], r["n_chars"]) for r in extraction.extract(pages).collect()], key=repr)
