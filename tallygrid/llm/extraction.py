@@ -184,7 +184,7 @@ def main_text(page: str | None) -> str:
     # a line that is one link is a menu's, wherever it stands
     links = [linked >= 0.9 * len(text) for text, linked, *_ in lines]
     own = [0 if link else max(len(text) - 2 * linked, 0) for (text, linked, *_), link in zip(lines, links)]
-    legal = [LEGAL.match(text) is not None for text, *_ in lines]
+    legal = [len(text) < SURGE and LEGAL.match(text) is not None for text, *_ in lines]  # a long one is a paragraph
     held = sum(w for w, (_, _, inside, _) in zip(own, lines) if inside)
     others = sum(w for w, (_, _, inside, _), law in zip(own, lines, legal) if not inside and not law)
     if held and held >= others:

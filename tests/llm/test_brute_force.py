@@ -171,6 +171,14 @@ def test_extraction_of_marked_pages_weighs_text(page, text):
     assert extraction.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<p>{ARTICLE}</p><aside><p>a</p><p>b</p><p>c</p><p>d</p></aside><p>Short end.</p>", f"{ARTICLE}\nShort end."),
+    (f"<p>{ARTICLE}</p><p>Copyright law: {ARTICLE}</p><p>{ARTICLE}</p><p>Copyright X</p>", f"{ARTICLE}\nCopyright law: {ARTICLE}\n{ARTICLE}"),
+])
+def test_extraction_of_unmarked_pages_loses_no_body(page, text):
+    assert extraction.main_text(page) == text
+
+
 def test_extraction_of_frames(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (3, "v", "<article>" + "<p>é" * 50_000)], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("c"))
     got = sorted([(r["page_id"], r["url"], r["n_chars"]) for r in extraction.extract(pages).collect()], key=repr)
