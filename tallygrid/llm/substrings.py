@@ -1,16 +1,17 @@
-"""Substring deduplication by relative Lempel-Ziv factors over an index of reference blocks.
+"""Substring deduplication by content-defined blocks with exact windows at their boundaries.
 
-Each document is parsed relative to the documents with smaller ids. The reference
-is cut into blocks at places that its own content picks: among the word shingles
+This takes the place of a relative Lempel-Ziv parse: no factor (source, place, length)
+and no longest match is made. What goes is every window of words that a document
+with a smaller id has too, whichever documents those are. Each text is cut into blocks at places that its own content picks: among the word shingles
 of a window, the one with the least hash is the window's anchor, so equal windows
 have equal anchors wherever they stand. Neighbouring windows with one anchor form
 a block. Every block of every document is indexed (by 128 bits: anchor and block
 content), with the smallest document that has it.
 
-A document's factors grow greedily over blocks whose first document is smaller.
-Only at factor boundaries, where an anchor is known but in other surroundings, are
-the block's windows checked one by one. A factor is long enough by construction:
-it is a union of whole windows.
+All windows of a block whose first document is smaller are duplicates. Only where
+an anchor is known but in other surroundings are the block's windows checked one by
+one. Duplicate windows that meet or overlap are one span, which may have several
+sources.
 
 What moves between machines is a row for each block (about one for 22 words), not
 for each word; equal blocks meet in a partial sum before the shuffle, so a passage
