@@ -215,10 +215,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         found = _joined(found, verified(_against_centres(classed, turn, percent), sets, percent))
     found = _joined(found, verified(_across_leaves(_classed(met, found), sets, percent), sets, percent))
 
+    several = _several(summary)
+    if several.take(1):
+        found = _joined(found, _between_sets(several, named, alike))
     tops = _tops(alike, found)
     same = (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("n") == F.col("sn"))
     result = summary.select("doc_id", "n", "h1", "h2").join(tops, same & F.col("doc_id").isNotNull(), "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id"))
+    # an id's empty sets go where its others do
+    ids = several.join(found.select("node", F.col("root").alias("id_top")), F.col("s_id") == F.col("node")).select("s_id", "id_top")
+    result = result.join(ids, F.col("doc_id") == F.col("s_id"), "left")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id_top", "top", "doc_id").alias("component_id"))
+
+
+def _several(summary: DataFrame) -> DataFrame:
+    """(s_id) of the ids with several different sets."""
+    one = F.struct("h1", "h2", "n")
+    ids = summary.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("s_id")).agg(F.min(one).alias("x"), F.max(one).alias("y"))
+    return settle(ids.filter(F.col("x") != F.col("y")).select("s_id"), "join-several-sets")
+
+
+def _between_sets(several: DataFrame, named: DataFrame, alike: DataFrame) -> DataFrame:
+    """(a, b): each id of several sets with the first document of every one of them."""
+    sets = named.select("doc_id", "h1", "h2", "n").join(several, F.col("doc_id") == F.col("s_id"), "left_semi").distinct()
+    roots = alike.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("n").alias("sn"), "root")
+    same = (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("n") == F.col("sn"))
+    return sets.join(roots, same).select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
 
 
 def _memberships(keys: DataFrame, named: DataFrame) -> DataFrame:

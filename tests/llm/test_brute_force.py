@@ -101,6 +101,13 @@ def test_join_of_repeated_and_null_ids(spark):
     assert ngramjoin.link(rows.limit(0)).count() == 0
 
 
+def test_join_of_an_id_with_several_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    rows = spark.createDataFrame([(1, one), (5, one), (5, two), (5, None), (7, two + " more"), (9, "alone")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngramjoin.link(rows).collect())
+    assert got == [(1, 1), (5, 1), (5, 1), (5, 1), (7, 1), (9, 9)]
+
+
 # ---- repetition
 
 
