@@ -16,15 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with over a thousandth of all rows, or over so many, is joined by broadcast.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, local mode) gets a folder of its own.
+    Only a local session that names none (tests) gets a folder of its own. A cluster
+    must name one: its executors can't read each other's disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tallygrid-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -60,6 +67,23 @@ def release(spark: SparkSession, since: int = 0, but: str | None = None) -> None
         _written.remove(path)
 
 
+def join_hot(rows: DataFrame, marks: DataFrame, keys: tuple[str, ...], n: str) -> DataFrame:
+    """``rows`` joined with ``marks``, which has one row a key and, in ``n``, how many of ``rows`` it meets.
+
+    Both are read twice, so they should be settled. Keys with more than a
+    ``HOT_SHARE``-th of the rows met go by broadcast: there are fewer than ``HOT_SHARE``
+    of them, of fixed width. No task gets all rows of a hot key.
+    """
+    met = marks.agg(F.sum(n)).first()[0] or 0
+    least = max(met // HOT_SHARE, HOT_ROWS)
+    hot, cold = marks.filter(F.col(n) > least).drop(n), marks.filter(F.col(n) <= least).drop(n)
+    if met <= least or not hot.take(1):
+        return rows.join(marks.drop(n), list(keys))
+    common = F.broadcast(hot)
+    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return rows.join(common, list(keys)).unionByName(rest.join(cold, list(keys)))
+
+
 def scratch_count() -> int:
     return len(_written)
 

@@ -1,22 +1,23 @@
-"""Substring deduplication by content-defined blocks with exact windows at their boundaries.
-
-This takes the place of a relative Lempel-Ziv parse: no factor (source, place, length)
-and no longest match is made. What goes is every window of words that a document
-with a smaller id has too, whichever documents those are. Each text is cut into blocks at places that its own content picks: among the word shingles
-of a window, the one with the least hash is the window's anchor, so equal windows
-have equal anchors wherever they stand. Neighbouring windows with one anchor form
-a block. Every block of every document is indexed (by 128 bits: anchor and block
-content), with the smallest document that has it.
-
-All windows of a block whose first document is smaller are duplicates. Only where
-an anchor is known but in other surroundings are the block's windows checked one by
-one. Duplicate windows that meet or overlap are one span, which may have several
-sources.
-
-What moves between machines is a row for each block (about one for 22 words), not
-for each word; equal blocks meet in a partial sum before the shuffle, so a passage
-that a third of all documents share is one row a task; boundary windows come from
-one document a distinct block.
+"""Substring deduplication by a relative Lempel-Ziv parse.
+
+The reference is every document, cut into blocks at places that its own content
+picks: the least hash of the word shingles in a window is the window's anchor, so
+equal windows have equal anchors wherever they stand, and a maximal run of windows
+with one anchor is a block. A block is known by 128 bits (anchor and content), and
+the index keeps its source: the smallest document that has it, and the place there.
+
+A document is parsed greedily: from the first block that an earlier document has, a
+factor (start, length, source, place) grows block by block as long as the next block
+continues in the same source. A factor is a window long at least, so every one is a
+duplicate span. Where a factor ends, or none starts although an anchor is known, a
+match may go on for a part of the block: there the windows of the block are compared
+one by one with those of all other blocks of that anchor, and every match is a
+factor too, whose source is the smallest document that has the window.
+
+What moves between machines is a row for each block (about one for 22 words, and one
+for a run of repeated words), not for each word; equal blocks meet in a partial sum
+before the shuffle, blocks that very many documents share are joined by broadcast,
+and windows at boundaries come from one document a distinct block.
 
 Defined results: null text has no words; texts shorter than a window lose nothing;
 rows of one id count as one document, so they never remove each other; a null id
@@ -33,21 +34,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import settle
-from tallygrid.llm.words import Runs, filled, mixed, slices, split_words, text_of, word_hashes
+from tallygrid.llm.common import join_hot, settle
+from tallygrid.llm.words import MIX_A, Runs, filled, mixed, slices, split_words, text_of, word_hashes
 
 SHINGLE = 8
+FACTOR = "struct<start: int, length: int, source: {key}, place: int>"
 
 
-def least_places(values: np.ndarray, width: int) -> np.ndarray:
-    """For each start, the leftmost place of the least of the next ``width`` values."""
-    place, reach = np.arange(len(values)), 1
+def least_values(values: np.ndarray, width: int) -> np.ndarray:
+    """For each start, the least of the next ``width`` values."""
+    reach = 1
     while reach < width:
         step = min(reach, width - reach)
-        left, right = place[:-step], place[step:]
-        place = np.where(values[right] < values[left], right, left)
+        values = np.minimum(values[:-step], values[step:])
         reach += step
-    return place
+    return values
+
+
+def _runs(own: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Where the text or a value differs from the one before."""
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
 
 
 def blocks(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
@@ -58,28 +68,68 @@ def blocks(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
     text, runs = text_of(ends), Runs(word_hashes(distinct)[ids])
     k = min(SHINGLE, window)
     at = np.arange(len(ids) - k + 1)
-    shingles = runs.hash(at, at + k)
-    place = least_places(shingles, window - k + 1)
-    starts = np.arange(len(place))
+    anchor = least_values(runs.hash(at, at + k), window - k + 1)
+    starts = np.arange(len(anchor))
     starts = starts[starts + window <= ends[1:][text[starts]]]
     if not len(starts):
         return None
-    place, own = place[starts], text[starts]
-    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (own[1:] != own[:-1]))))
-    lo, hi, p, own = starts[first], starts[np.concatenate((first[1:], [len(starts)])) - 1], place[first], own[first]
-    content = mixed(runs.hash(lo, hi + window) + (p - lo).astype(np.uint64))
+    anchor, own = anchor[starts], text[starts]
+    first = _runs(own, anchor)
+    lo, hi, own = starts[first], starts[np.append(first[1:], len(starts)) - 1], own[first]
+    content = mixed(runs.hash(lo, hi + window) + MIX_A)
     row = pa.array(own)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").take(row), batch.column("tag").take(row), pa.array((lo - ends[own]).astype(np.int32)), pa.array((hi - ends[own]).astype(np.int32)), pa.array(shingles[p].view(np.int64)), pa.array(content.view(np.int64))],
+        [
+            batch.column("doc_id").take(row), batch.column("tag").take(row),
+            pa.array((lo - ends[own]).astype(np.int32)), pa.array((hi - ends[own]).astype(np.int32)),
+            pa.array(anchor[first].view(np.int64)), pa.array(content.view(np.int64)),
+        ],
         names=["doc_id", "tag", "lo", "hi", "anchor", "block"],
+    )
+
+
+def parse(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    """(doc_id, tag, factors, open) of each row's ``blocks``, which are in order.
+
+    ``earlier`` blocks have a source and make factors; the others are open: their
+    windows are to be compared.
+    """
+    listed = batch.column("blocks")
+    flat = listed.flatten()
+    own = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+    lo, hi, place, earlier = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "place", "earlier"))
+    known = np.flatnonzero(earlier)
+    source = flat.field("source").take(pa.array(known))
+    named = source.dictionary_encode().indices.to_numpy()
+    # a factor goes on where blocks touch and their places in one source do
+    apart = lo[known] - place[known]
+    after = np.cumsum(np.append(0, lo[known][1:] != hi[known][:-1] + 1)) if len(known) else known
+    first = _runs(own[known], named, apart, after)
+    last = np.append(first[1:], len(known)) - 1 if len(first) else first
+    start = lo[known][first]
+    factors = pa.StructArray.from_arrays(
+        [pa.array(start), pa.array(hi[known][last] + np.int32(window) - start), source.take(pa.array(first)), pa.array(place[known][first])],
+        names=["start", "length", "source", "place"],
     )
+    rest = np.flatnonzero(~earlier)
+
+    def lists(rows: np.ndarray, values: pa.Array) -> pa.Array:
+        ends = np.append(0, np.cumsum(np.bincount(rows, minlength=batch.num_rows)))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
+    still = flat.take(pa.array(rest))
+    still = pa.StructArray.from_arrays([still.field(n) for n in ("lo", "hi", "anchor")], names=["lo", "hi", "anchor"])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("tag"), lists(own[known][first], factors), lists(own[rest], still)],
+        names=["doc_id", "tag", "factors", "open"],
+    )
 
-def _windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
-    """(doc_id, tag, anchor, at, hash) of every window of the listed blocks."""
+
+def boundary_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
+    """(doc_id, tag, anchor, hash, places) of each row's distinct windows in its open blocks."""
     ids, ends, distinct = split_words(filled(batch.column("text")))
     runs = Runs(word_hashes(distinct)[ids])
-    listed = batch.column("todo")
+    listed = batch.column("open")
     flat, counts = listed.flatten(), np.diff(listed.offsets.to_numpy())
     if not len(flat):
         return None
@@ -88,18 +138,25 @@ def _windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
     many = hi - lo + 1
     each = np.repeat(np.arange(len(lo)), many)
     at = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + lo[each]
-    start = at + ends[row[each]]
-    take = pa.array(row[each])
+    own = row[each]
+    found = runs.hash(at + ends[own], at + ends[own] + window)
+    by = np.lexsort((at, found, own))
+    first = _runs(own[by], found[by])
+    take = pa.array(own[by][first])
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(by)).astype(np.int32)), pa.array(at[by].astype(np.int32)))
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(anchor[each]), pa.array(at.astype(np.int32)), pa.array(runs.hash(start, start + window).view(np.int64))],
-        names=["doc_id", "tag", "anchor", "at", "hash"],
-    )
+        [
+            batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(anchor[each][by][first]),
+            pa.array(found[by][first].view(np.int64)), places,
+        ],
+        names=["doc_id", "tag", "anchor", "hash", "places"],
+    )
 
 
-def _merged(found: list[dict] | None, window: int) -> list[list[int]]:
-    """The word ranges [from, to) that the windows starting at lo to hi cover, in order."""
+def _merged(found: list[dict] | None) -> list[list[int]]:
+    """The word ranges [from, to) that the factors cover, in order."""
     spans: list[list[int]] = []
-    for lo, hi in sorted((x["lo"], x["hi"] + window) for x in found or ()):
+    for lo, hi in sorted((x["start"], x["start"] + x["length"]) for x in found or ()):
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = max(hi, spans[-1][1])
         else:
@@ -115,69 +172,85 @@ def _left(words: list[bytes], spans: list[list[int]]) -> list[bytes]:
     return left + words[at:]
 
 
-def _without(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
-    """Each text without the words of its duplicate windows, and the spans of words that went."""
+def _without(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each text without the words of its factors, and the spans of words that went."""
     n_words, n_removed, kept, spans = [], [], [], []
     for text, found in zip(filled(batch.column("text")), batch.column("found").to_pylist()):
         words = text.as_buffer().to_pybytes().split()
-        spans.append(_merged(found, window))
+        spans.append(_merged(found))
         left = _left(words, spans[-1])
         n_words.append(len(words))
         n_removed.append(len(words) - len(left))
         kept.append(b" ".join(left))
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary()).cast(pa.string())],
-        names=["doc_id", "n_words", "n_removed", "spans", "kept"],
-    )
+        [
+            batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            pa.array(spans, pa.list_(pa.list_(pa.int32()))), batch.column("found"), pa.array(kept, pa.binary()).cast(pa.string()),
+        ],
+        names=["doc_id", "n_words", "n_removed", "spans", "factors", "kept"],
+    )
 
 
-def duplicate_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tag, found: [(lo, hi)]): the duplicate windows of each row start at words lo to hi."""
-    key = texts.schema["doc_id"].dataType.simpleString()
+def _mapped(frame: DataFrame, cut, window: int, schema: str, cutting=slices) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from filter(None, (cut(x, window) for x in cutting(batches)))
+
+    return frame.mapInArrow(run, schema)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from filter(None, (blocks(x, window) for x in slices(batches)))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from filter(None, (_windows(x, window) for x in slices(batches)))
+def _sourced(rows: DataFrame, firsts: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """``rows`` with the columns of ``firsts``, which has one row a key and the number ``n`` of rows it meets."""
+    return join_hot(rows, settle(firsts, "substring-firsts"), keys, "n")
 
+
+def factors(texts: DataFrame, window: int) -> DataFrame:
+    """(doc_id, tag, found: [(start, length, source, place)]) of each row of (doc_id, tag, text) that has factors."""
+    key = texts.schema["doc_id"].dataType.simpleString()
     named = texts.filter(F.col("doc_id").isNotNull())
-    indexed = settle(named.mapInArrow(index, f"doc_id {key}, tag bigint, lo int, hi int, anchor bigint, block bigint"), "substring-blocks")
-    firsts = indexed.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = settle(firsts.select(F.col("anchor").alias("f_anchor"), F.col("block").alias("f_block"), "first", "last"), "substring-firsts")
-    varied = firsts.groupBy("f_anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(F.col("f_anchor").alias("v_anchor"))
-    shared = settle(firsts.join(varied, F.col("f_anchor") == F.col("v_anchor"), "left").filter((F.col("first") < F.col("last")) | F.col("v_anchor").isNotNull()).select("f_anchor", "f_block", "first", F.col("v_anchor").isNotNull().alias("varied")), "substring-shared")
-
-    known = indexed.join(shared, (F.col("anchor") == F.col("f_anchor")) & (F.col("block") == F.col("f_block")))
-    known = settle(known.filter((F.col("first") < F.col("doc_id")) | F.col("varied")).select("doc_id", "tag", "lo", "hi", "anchor", (F.col("first") < F.col("doc_id")).alias("earlier")), "substring-known")
-    inner = known.filter("earlier").select("doc_id", "tag", F.struct("lo", "hi").alias("span"))
-
-    todo = known.filter(~F.col("earlier")).groupBy(F.col("doc_id").alias("t_id"), F.col("tag").alias("t_tag")).agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("todo"))
-    edges = named.join(todo.hint("shuffle_hash"), (F.col("doc_id") == F.col("t_id")) & (F.col("tag") == F.col("t_tag"))).select("doc_id", "tag", "text", "todo")
-    edges = settle(edges.mapInArrow(judge, f"doc_id {key}, tag bigint, anchor bigint, at int, hash bigint"), "substring-edges")
-    least = edges.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last"))
-    least = settle(least.select(F.col("anchor").alias("l_anchor"), F.col("hash").alias("l_hash"), "first"), "substring-least")
-    outer = edges.join(least, (F.col("anchor") == F.col("l_anchor")) & (F.col("hash") == F.col("l_hash")) & (F.col("first") < F.col("doc_id")))
-    outer = outer.select("doc_id", "tag", F.struct(F.col("at").alias("lo"), F.col("at").alias("hi")).alias("span"))
-    return settle(inner.unionByName(outer).groupBy("doc_id", "tag").agg(F.collect_list("span").alias("found")), "substring-spans")
+    schema = f"doc_id {key}, tag bigint, lo int, hi int, anchor bigint, block bigint"
+    indexed = settle(_mapped(named, blocks, window, schema), "substring-blocks")
+
+    least = F.min(F.struct("doc_id", F.col("lo").alias("place"))).alias("first")
+    reference = settle(indexed.groupBy("anchor", "block").agg(least, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")), "substring-reference")
+    varied = reference.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).filter(F.col("blocks") > 1).select("anchor", F.lit(True).alias("varied"))
+    shared = reference.join(varied, "anchor", "left").filter((F.col("first.doc_id") < F.col("last")) | F.col("varied"))
+    shared = shared.select("anchor", "block", F.col("first.doc_id").alias("source"), F.col("first.place").alias("place"), F.coalesce("varied", F.lit(False)).alias("varied"), "n")
+
+    known = _sourced(indexed, shared, ("anchor", "block")).withColumn("earlier", F.col("source") < F.col("doc_id")).filter(F.col("earlier") | F.col("varied"))
+    listed = F.sort_array(F.collect_set(F.struct("lo", "hi", "anchor", "earlier", "source", "place"))).alias("blocks")
+    schema = f"doc_id {key}, tag bigint, factors array<{FACTOR.format(key=key)}>, open array<struct<lo: int, hi: int, anchor: bigint>>"
+    parsed = settle(_mapped(known.groupBy("doc_id", "tag").agg(listed), parse, window, schema, cutting=iter), "substring-parse")
+
+    todo = parsed.filter(F.size("open") > 0).select(F.col("doc_id").alias("o_id"), F.col("tag").alias("o_tag"), "open")
+    ends = named.join(todo, (F.col("doc_id") == F.col("o_id")) & (F.col("tag") == F.col("o_tag"))).select("doc_id", "tag", "text", "open")
+    schema = f"doc_id {key}, tag bigint, anchor bigint, hash bigint, places array<int>"
+    ends = settle(_mapped(ends, boundary_windows, window, schema), "substring-boundaries")
+    least = F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("first")
+    again = ends.groupBy("anchor", "hash").agg(least, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("first.doc_id") < F.col("last"))
+    again = again.select("anchor", "hash", F.col("first.doc_id").alias("source"), F.col("first.place").alias("place"), "n")
+    met = _sourced(ends, again, ("anchor", "hash")).filter(F.col("source") < F.col("doc_id"))
+    one = F.transform("places", lambda p: F.struct(p.alias("start"), F.lit(window).alias("length"), F.col("source"), F.col("place")))
+    every = parsed.filter(F.size("factors") > 0).select("doc_id", "tag", "factors").unionByName(met.select("doc_id", "tag", one.alias("factors")))
+    return settle(every.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("factors")).alias("found")), "substring-factors")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept) for every row.
+    """(doc_id, n_words, n_removed, spans, factors, kept) for every row.
 
     A word goes when a window of ``window`` words over it also starts in a document
-    with a smaller id; windows are judged on the input. ``spans`` lists the removed
-    word ranges [from, to) and ``kept`` has the other words, joined by spaces.
+    with a smaller id; windows are judged on the input. ``factors`` lists the parse,
+    (start, length, source, place) in words, ``spans`` the removed word ranges [from, to)
+    and ``kept`` has the other words, joined by spaces.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    found = duplicate_windows(texts, window).select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "found")
-    joined = texts.join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left").select("doc_id", "text", "found")
+    found = factors(texts, window).select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "found")
+    joined = texts.join(found, (F.col("doc_id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (_without(x, window) for x in slices(batches))
+        yield from map(_without, slices(batches))
 
     key = texts.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {key}, n_words bigint, n_removed bigint, spans array<array<int>>, kept string")
+    return joined.mapInArrow(run, f"doc_id {key}, n_words bigint, n_removed bigint, spans array<array<int>>, factors array<{FACTOR.format(key=key)}>, kept string")
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -186,19 +259,21 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     A text that loses nothing stays as it is; another has its kept words joined by spaces.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    found = duplicate_windows(texts, window).select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "found")
+    found = factors(texts, window).select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "found")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"))
-    joined = rows.join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
+    joined = rows.join(found, (F.col("doc_id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
 
     @F.arrow_udf("string")
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-        pairs = zip(filled(text), spans.to_pylist())
-        return pa.array([b" ".join(_left(t.as_buffer().to_pybytes().split(), _merged(x, window))) if x else b"" for t, x in pairs], pa.binary()).cast(pa.string())
+    def cut(text: pa.Array, found: pa.Array) -> pa.Array:
+        pairs = zip(filled(text), found.to_pylist())
+        left = [b" ".join(_left(t.as_buffer().to_pybytes().split(), _merged(x))) if x else b"" for t, x in pairs]
+        return pa.array(left, pa.binary()).cast(pa.string())
 
     # only texts that lose words travel to Python
     losing = F.col("found").isNotNull()
     shorter = cut(F.when(losing, F.col(f"row.{text_col}").cast("string")), F.col("found"))
-    return joined.select("row", F.when(losing, shorter).otherwise(F.col(f"row.{text_col}")).alias("shorter")).select(*[F.col("shorter").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    cleaned = joined.select("row", F.when(losing, shorter).otherwise(F.col(f"row.{text_col}")).alias("shorter"))
+    return cleaned.select(*[F.col("shorter").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
