@@ -68,20 +68,19 @@ def release(spark: SparkSession, since: int = 0, but: str | None = None) -> None
 
 
 def join_hot(rows: DataFrame, marks: DataFrame, keys: tuple[str, ...], n: str) -> DataFrame:
-    """``rows`` joined with ``marks``, which has one row a key and, in ``n``, how many of ``rows`` it meets.
+    """``rows`` joined with ``marks``, whose column ``n`` tells how many of ``rows`` have the key.
 
-    Both are read twice, so they should be settled. Keys with more than a
-    ``HOT_SHARE``-th of the rows met go by broadcast: there are fewer than ``HOT_SHARE``
-    of them, of fixed width. No task gets all rows of a hot key.
+    Both are read twice, so they should be settled. Marks that meet more than a
+    ``HOT_SHARE``-th of all pairs go by broadcast: there are fewer than ``HOT_SHARE`` of
+    them, whatever the input. So no task gets all rows of a hot key.
     """
-    met = marks.agg(F.sum(n)).first()[0] or 0
-    least = max(met // HOT_SHARE, HOT_ROWS)
+    pairs = marks.agg(F.sum(n)).first()[0] or 0
+    least = max(pairs // HOT_SHARE, HOT_ROWS)
     hot, cold = marks.filter(F.col(n) > least).drop(n), marks.filter(F.col(n) <= least).drop(n)
-    if met <= least or not hot.take(1):
+    if pairs <= least or not hot.take(1):
         return rows.join(marks.drop(n), list(keys))
-    common = F.broadcast(hot)
     rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
-    return rows.join(common, list(keys)).unionByName(rest.join(cold, list(keys)))
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(rest.join(cold, list(keys)))
 
 
 def scratch_count() -> int:

@@ -7,6 +7,11 @@ documents. Documents meet windows only on that token; the token's place in the
 window gives the start (positional bound), the window must end inside the
 document (length bound), and what is left is compared word by word.
 
+One plan serves all sizes. A document is cut into rows of (id, place, shingle)
+without its text; those meet the prefix tokens, hot ones apart, and the candidate
+starts are gathered by document, which is read once more to compare the words. A
+few windows are broadcast, which saves shuffling the rows and changes nothing else.
+
 Defined results: null text, or text without words, has no words, no hits and is
 clean; a null or wordless item has no window; a null item id counts for hits but
 is no item; each input row gives one output row, repeated rows equal ones; with
@@ -15,19 +20,16 @@ an empty benchmark everything is clean; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import settle
+from tallygrid.llm.common import join_hot, settle
 
 #: Everything in ASCII but digits and lower-case letters, after lower-casing.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many windows (a few hundred bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
-ROW_KEY = 0
 
 
 def padded_words(text: Column) -> Column:
@@ -49,43 +51,60 @@ def _shingle(words: Column, at: Column, pair: bool) -> Column:
     return F.xxhash64(F.get(words, at), F.get(words, at + 1)) if pair else F.xxhash64(F.get(words, at))
 
 
-def _walk(texts: DataFrame, pair: bool) -> DataFrame:
-    """A row for each word, and one for the document itself at 0, with the shingle that starts there."""
-    at = texts.select("doc_id", "tag", "p", F.posexplode("p").alias("at", "word"))
+def _walk(texts: DataFrame, pair: bool, *columns: Column) -> DataFrame:
+    """A row for each word with the shingle that starts there, and ``columns``; the texts stay behind."""
+    at = texts.select("*", F.posexplode("p").alias("at", "word")).filter(F.col("at") > 0)
     key = F.xxhash64("word", F.get("p", F.col("at") + 1)) if pair else F.xxhash64("word")
-    return at.select("doc_id", "tag", "p", "at", F.when(F.col("at") == 0, F.lit(ROW_KEY)).otherwise(key).alias("shingle"))
-
-
-def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int) -> DataFrame:
-    """(doc_id, tag, n_words, start, length, items): a row for each document without a start, and one for each occurrence."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), padded_words(F.col(text_col)).alias("p"))
-    windows = settle(item_windows(benchmark, item_id_col, item_text_col, window), "decon-windows").select("words", "items", (F.size("words") > 1).alias("pair"))
-    kinds = {r["pair"]: r["count"] for r in windows.groupBy("pair").count().collect()}
-    small = F.broadcast if sum(kinds.values()) <= BROADCAST_WINDOWS else (lambda df: df)
-
-    found = []
-    for pair in (True, False):
-        if pair or kinds.get(pair):
-            ours = windows.filter(F.col("pair") == pair)
-            last = F.size("words") - (1 if pair else 0) - 1
-            places = ours.select("words", "items", F.explode(F.sequence(F.lit(0), last)).alias("offset"))
-            places = places.select("words", "items", "offset", _shingle(F.col("words"), F.col("offset"), pair).alias("shingle"))
-            counts = _walk(texts, pair).filter(F.col("at") > 0).join(small(places.select("shingle").distinct()), "shingle").groupBy("shingle").count()
-            # a shingle that no document has drops out here, and its windows with it: they occur nowhere
-            rated = places.join(counts, "shingle", "left").select("words", "items", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "offset", "shingle").alias("r"))
-            prefix = rated.groupBy("words").agg(F.min("r").alias("r"), F.first("items").alias("items")).filter(F.col("r.n") > 0)
-            keyed = prefix.select(F.col("r.shingle").alias("shingle"), F.col("r.offset").alias("offset"), "words", "items")
-            if pair:
-                row = docs.sparkSession.range(1).select(F.lit(ROW_KEY).cast("long").alias("shingle"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<string>").alias("items"))
-                keyed = keyed.unionByName(row)
-            keyed = settle(keyed, "decon-prefixes")
-            start, length, n = F.col("at") - F.col("offset"), F.size("words"), F.size("p") - 2
-            inside = (start >= 1) & (start + length - 1 <= n)
-            same = F.when(inside, F.slice("p", start + 1, length) == F.col("words"))
-            # the row of a document has no window, and only that row may be without one
-            kept = F.when(F.col("at") == 0, F.col("words").isNull()).otherwise(F.col("words").isNotNull() & F.coalesce(same, F.lit(False)))
-            found.append(_walk(texts, pair).join(small(keyed), "shingle").filter(kept).select("doc_id", "tag", n.cast("long").alias("n_words"), F.when(F.col("at") > 0, start).alias("start"), F.when(F.col("at") > 0, length).alias("length"), "items"))
-    return settle(reduce(DataFrame.unionByName, found), "decon-found")
+    return at.select(*columns, key.alias("shingle"))
+
+
+def prefixes(texts: DataFrame, windows: DataFrame, pair: bool, small: bool) -> DataFrame:
+    """(shingle, offset, words, window, n): each window's rarest shingle, and how often documents have it.
+
+    A window with a shingle that no document has drops out: it occurs nowhere.
+    """
+    last = F.size("words") - (1 if pair else 0) - 1
+    places = windows.select("window", "words", F.explode(F.sequence(F.lit(0), last)).alias("offset"))
+    places = places.select("window", "words", "offset", _shingle(F.col("words"), F.col("offset"), pair).alias("shingle"))
+    wanted = places.select("shingle").distinct()
+    counts = _walk(texts, pair).join(F.broadcast(wanted) if small else wanted, "shingle").groupBy("shingle").count()
+    rated = places.join(counts, "shingle", "left")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "offset", "shingle")).alias("r")
+    chosen = rated.groupBy("window").agg(rarest, F.first("words").alias("words")).filter(F.col("r.n") > 0)
+    return settle(chosen.select("r.shingle", "r.offset", "words", "window", "r.n"), "decon-prefixes")
+
+
+def candidates(texts: DataFrame, windows: DataFrame, pair: bool, small: bool) -> DataFrame:
+    """(doc_id, tag, start, words, window): where a window would have to start for its prefix token to stand there."""
+    ours = windows.filter((F.size("words") > 1) == pair)
+    keyed = prefixes(texts, ours, pair, small)
+    rows = _walk(texts, pair, F.col("doc_id"), F.col("tag"), F.col("at"), (F.size("p") - 2).alias("n_words"))
+    met = rows.join(F.broadcast(keyed), "shingle") if small else join_hot(rows, keyed, ("shingle",), "n")
+    start = F.col("at") - F.col("offset")
+    inside = (start >= 1) & (start + F.size("words") - 1 <= F.col("n_words"))
+    return met.filter(inside).select("doc_id", "tag", start.alias("start"), "words", "window")
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, n_words, hits) for every row, where ``hits`` lists (start, length, window), and (window, item)."""
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    texts = raw.select("doc_id", "tag", padded_words(F.col("text")).alias("p"))
+    cut = item_windows(benchmark, id_col=item_id_col, text_col=item_text_col, window=window)
+    windows = settle(cut.withColumn("window", F.monotonically_increasing_id()), "decon-windows")
+    kinds = {r["pair"]: r["count"] for r in windows.groupBy((F.size("words") > 1).alias("pair")).count().collect()}
+    small = sum(kinds.values()) <= BROADCAST_WINDOWS
+    found = candidates(texts, windows, True, small)
+    if kinds.get(False):
+        found = found.unionByName(candidates(texts, windows, False, small))
+    near = F.collect_set(F.struct("start", "words", "window")).alias("near")
+    # a document has at most a start for each of its words and each window that the word's token begins
+    found = settle(found.groupBy(F.col("doc_id").alias("c_id"), F.col("tag").alias("c_tag")).agg(near), "decon-candidates")
+    both = raw.join(found, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tag") == F.col("c_tag")), "left")
+    both = both.select("doc_id", "tag", padded_words(F.col("text")).alias("p"), "near")
+    same = F.filter("near", lambda x: F.slice("p", x["start"] + 1, F.size(x["words"])) == x["words"])
+    hits = F.transform(same, lambda x: F.struct(x["start"].alias("start"), F.size(x["words"]).alias("length"), x["window"].alias("window")))
+    judged = both.select("doc_id", "tag", (F.size("p") - 2).cast("long").alias("n_words"), hits.alias("hits"))
+    return settle(judged, "decon-found"), windows.select("window", F.explode("items").alias("item"))
 
 
 def decontaminate(
@@ -105,13 +124,16 @@ def decontaminate(
     a document is contaminated when ``share`` of its words or more are hit.
     ``tag`` tells apart rows of one id with different texts.
     """
-    found = find_windows(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window)
-    spans = found.filter(F.col("start").isNotNull()).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
-    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    hits = spans.select(F.col("doc_id").alias("h_id"), F.col("tag").alias("h_tag"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("item_ids"))
-    rows = found.filter(F.col("start").isNull()).select("doc_id", "tag", "n_words")
-    joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tag") == F.col("h_tag")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0))
+    found, windows = find_windows(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window)
+    hit = found.filter(F.size("hits") > 0)
+    pairs = hit.select(F.col("doc_id").alias("h_id"), F.col("tag").alias("h_tag"), F.explode(F.array_distinct("hits.window")).alias("window"))
+    pairs = settle(pairs, "decon-pairs")
+    counts = pairs.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
+    named = join_hot(pairs, settle(windows.join(counts, "window"), "decon-items"), ("window",), "n")
+    items = named.groupBy("h_id", "h_tag").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    joined = found.join(items, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tag") == F.col("h_tag")), "left")
+    places = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))
+    n_hit = F.when(F.size("hits") > 0, F.size(F.array_distinct(places))).otherwise(0).cast("long")
     return joined.select(
         "doc_id",
         "tag",

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import SF, files, same_rows
-from tallygrid.llm import decontamination, mixing, queries, substrings, urlfilter
+from tallygrid.llm import common, decontamination, mixing, queries, substrings, urlfilter
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables missing")
 
+MID = SF.replace("0.001", "0.01")
 PASSAGE = " ".join(f"p{i}" for i in range(70))
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
 DOCS = [
@@ -52,6 +53,44 @@ def test_odd_rows_decontamination_without_broadcast(spark, monkeypatch):
     same_rows(decontamination.digest(decontamination.decontaminate(docs_of(spark), items_of(spark))), decontamination.ORACLE, frames())
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    jvm = spark._jvm
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@needs_data
+def test_decontamination_without_broadcast_shuffles_little(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{MID}/documents.parquet"), spark.read.parquet(f"{MID}/benchmark.parquet")
+    want = sorted(map(tuple, decontamination.digest(decontamination.decontaminate(docs, items)).collect()))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = decontamination.digest(decontamination.decontaminate(docs, items)).collect()
+        written = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got)) == want
+    assert written < 6 * size, (written, size)
+
+
+def test_decontamination_of_repeated_rows_null_ids_and_long_texts(spark):
+    long = "filler " * 100_000 + ITEM
+    rows = [(1, ITEM), (1, ITEM), (None, ITEM), (None, None), (2, long), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = lambda df: sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in df.collect()), key=repr)
+    got = one(decontamination.decontaminate(docs, items_of(spark)))
+    hit, no = (15, 15, ["1", "20"], True), (0, 0, [], False)
+    assert got == sorted([(1, *hit), (1, *hit), (None, *hit), (None, *no), (2, 100_015, 15, ["1", "20"], False), (3, *no)], key=repr)
+    clean = one(decontamination.decontaminate(docs, items_of(spark).limit(0)))
+    assert all(x[2:] == (0, [], False) for x in clean) and len(clean) == 6
+    assert decontamination.decontaminate(docs.limit(0), items_of(spark)).count() == 0
+
+
 def test_odd_rows_substrings(spark):
     got = substrings.dedup(docs_of(spark)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     same_rows(got, substrings.ORACLE, frames())
