@@ -1,17 +1,19 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block element's own text, and every line
-gets a weight: its text length, less what is link text, and nothing inside menus,
+Markup is stripped to lines, one for each block element's own text. Lines of menus,
 headers, footers, sidebars, notices, adverts, forms, comments and other parts that
-tags, roles, class names or hiding set apart, or in lines that are one link. In a page that marks its article (an
-article or main element), lines in there weigh more by a bonus that is no surge by itself, and the others nothing,
-unless the others hold more text: then all have their own weights.
-
-Weights are summed over sliding windows of ``WINDOW`` lines. The main text starts
-where the sums surge over a threshold, from the first line of weight in that
-window (lines set apart, or outside the marked article, are in no window), and ends where they dive to zero; lines in between are kept, but for those
-set apart. A single line that is one link stays in a marked article's text, as links in
-the text do; several in a row are a list.
+tags, roles, class names or hiding set apart go with the markup. Every other line gets
+a weight: its text less what is link text, and a constant for standing in a block of
+its own; nothing, if it is one link. Marks only multiply weights: lines of a marked
+article (an article or main element) weigh more, and where it holds most of the text
+the lines around it weigh a fraction; where they hold more, they keep their weight.
+
+Weights are summed over sliding windows of ``WINDOW`` lines. The sums' course decides,
+on every page: the main text begins at a surge, where a sum passes ``SURGE``, from the
+first line of weight in that window, and ends at a dive, where a sum falls under
+``DIVE`` of it; there may be several surges and dives. Lines between them that weigh
+as much as a dive are kept. A single line that is one link stays in a marked article's
+text, as links in the text do; several in a row are a list.
 
 Defined results: null, empty and textless pages have empty text; unclosed elements
 and comments reach to the end of their surroundings; each row gives one row,
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.words import slices
 
-#: Lines in a window, the sum of weights that makes a surge, and what a line of weight in a marked article weighs more.
-WINDOW, SURGE, BONUS = 3, 80, 25
+#: Lines in a window, the sum of weights that makes a surge, and the share of it under which a sum dives.
+WINDOW, SURGE, DIVE = 3, 120, 1 / 12
+#: What a block of text weighs beside its length, and factors for lines of a marked article and lines around it.
+BLOCK, MARKED, AROUND = 15, 3, 0.02
+#: A line that begins like a legal one is a paragraph from this length on.
+LONG = 80
 
 # Names of HTML elements.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video", "xmp")
@@ -178,29 +184,43 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """The article's lines."""
-    lines = [x for x in lines_of(page or "") if not x[3]]  # parts set apart don't end the text
+def weigh(lines: list[tuple[str, int, bool, bool]]) -> list[float]:
+    """The weight of each line of ``lines_of``."""
     # a line that is one link is a menu's, wherever it stands
     links = [linked >= 0.9 * len(text) for text, linked, *_ in lines]
     own = [0 if link else max(len(text) - 2 * linked, 0) for (text, linked, *_), link in zip(lines, links)]
-    legal = [len(text) < SURGE and LEGAL.match(text) is not None for text, *_ in lines]  # a long one is a paragraph
+    legal = [not inside and len(text) < LONG and LEGAL.match(text) is not None for text, _, inside, _ in lines]
+    own = [0 if law else w for w, law in zip(own, legal)]
     held = sum(w for w, (_, _, inside, _) in zip(own, lines) if inside)
-    others = sum(w for w, (_, _, inside, _), law in zip(own, lines, legal) if not inside and not law)
-    if held and held >= others:
-        lists = [a and (b or c) for a, b, c in zip(links, [False, *links], [*links[1:], False])]
-        usable = [not many for (_, _, inside, _), many in zip(lines, lists) if inside]
-        lines, own = [x for x in lines if x[2]], [w for w, x in zip(own, lines) if x[2]]
-        weights = [(w + BONUS) * (use and w > 0) for w, use in zip(own, usable)]
-    else:
-        usable = [not link and (inside or not law) for (_, _, inside, _), link, law in zip(lines, links, legal)]
-        weights = [w * use for w, use in zip(own, usable)]
+    around = AROUND if held and 2 * held >= sum(own) else 1
+    return [(w + BLOCK) * (MARKED if inside else around) if w else 0.0 for w, (_, _, inside, _) in zip(own, lines)]
+
+
+def spans(weights: list[float]) -> list[bool]:
+    """Whether each line lies between a surge and a dive of the window sums."""
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     surge = min(SURGE, max(sums, default=0))
-    kept, inside = [], False
-    for (text, *_), use, weight, around in zip(lines, usable, weights, sums):
-        inside = around > 0 if inside else around >= surge > 0 and weight > 0
-        if inside and use:
+    found, inside = [], False
+    for weight, total in zip(weights, sums):
+        if inside:
+            inside = total >= surge * DIVE
+        else:
+            inside = total >= surge > 0 and weight >= surge * DIVE
+        found.append(inside)
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The article's lines."""
+    lines = [x for x in lines_of(page or "") if not x[3]]  # parts set apart don't end the text
+    weights = weigh(lines)
+    within = spans(weights)
+    least = min(SURGE, max(weights, default=0)) * DIVE
+    links = [linked >= 0.9 * len(text) for text, linked, *_ in lines]
+    lone = [a and not b and not c for a, b, c in zip(links, [False, *links], [*links[1:], False])]
+    kept = []
+    for (text, _, marked, _), weight, single, inside in zip(lines, weights, lone, within):
+        if inside and (weight >= least > 0 or single and marked):
             kept.append(text)
     return "\n".join(kept)
 

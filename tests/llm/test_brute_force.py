@@ -186,6 +186,27 @@ def test_extraction_of_unmarked_pages_loses_no_body(page, text):
     assert extraction.main_text(page) == text
 
 
+def test_spans_of_the_distribution(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 1, 9, 25, 60, 300]) for _ in range(rng.randrange(14))]
+        sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
+        surge = min(120, max(sums, default=0))
+        begins = [i for i, s in enumerate(sums) if s >= surge > 0 and weights[i] * 12 >= surge]
+        want, at = set(), 0
+        for begin in begins:
+            if begin >= at:
+                at = next((i for i in range(begin, len(sums)) if sums[i] * 12 < surge), len(sums))
+                want |= set(range(begin, at))
+        assert [i for i, x in enumerate(extraction.spans(weights)) if x] == sorted(want)
+    page = f"<div><p>Menu of it</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>{ARTICLE}</p><p>{ARTICLE}</p></div>"
+    assert extraction.main_text(page) == f"{ARTICLE}\n{ARTICLE}"
+    for name, value in (("WINDOW", 6), ("SURGE", 20)):
+        with monkeypatch.context() as patch:
+            patch.setattr(extraction, name, value)
+            assert extraction.main_text(page).startswith("Menu of it")
+
+
 def test_extraction_of_frames(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (3, "v", "<article>" + "<p>é" * 50_000)], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("c"))
     got = sorted([(r["page_id"], r["url"], r["n_chars"]) for r in extraction.extract(pages).collect()], key=repr)
