@@ -7,14 +7,19 @@ smaller coordinates, so a pair, or two boxes of points, whose summed minima (of
 upper corners) stay below the needed overlap can't link. By a second hash, groups
 are so many that a linked pair has at least one group exactly equal: a pair with
 similarity s has at most ``(a + b)(1 - s) / (1 + s)`` shingles on one side only, and
-there is one group more than that. Only documents with an equal group meet.
-
-Equal sets become one class before anything else. Where many near copies meet in
-one bucket, pairs are not enumerated: each round every bucket verifies its members
-against one centre, and members that became one class by verified links need no
-further checks. What stays in different classes is packed, by class and size, into
-leaves with boxes; leaf pairs that the bounds don't rule out are verified in full.
-So no link between classes is lost, and a bucket is never one task's work.
+there is one group more than that, and some to spare. Only documents with an equal
+group meet. As a linked pair shares several groups, each document leaves out its
+most common ones, all but one of the number that must be shared.
+
+Equal groups are the partitions of the index, and each has a tree. A tree is packed by
+class, size and parts of about ``LEAF`` points; a node has a box: the upper corner of
+its points, the range of their sizes and that of their classes. The trees are descended
+level by level, all at once: a pair of nodes whose bounds allow a link is replaced by
+the pairs of their children, and pairs of points in the last leaves are verified in
+full. Equal sets are one point, and in trees of more than a leaf the points are first
+verified against one of them, the pivot: those that became one class by verified links
+are skipped by the descent. So no link between classes is lost, large groups of copies
+aren't compared pair by pair, and no tree is one task's work.
 
 Defined results: null text or text without words has an empty set (size 0) and
 links with nothing; fewer words than a shingle make one shingle of all words; rows
@@ -32,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import settle
+from tallygrid.llm.common import join_hot, join_spread, settle
 from tallygrid.llm.components import components
 from tallygrid.llm.words import MIX_A, Runs, filled, mixed, slices, split_words, text_of, word_hashes
 
 #: A power of two. Too few axes make the minima of unrelated sets add up to most of their sizes.
 AXES = 64
-LEAF = 128
-#: Rounds against one centre before leaves are paired.
+#: Points in a leaf, and children of an inner node below the levels of class and size.
+LEAF, FAN = 128, 8
+#: Rounds against one pivot before the descent.
 ROUNDS = 2
 #: Groups named beyond those that decide, by share, and groups beyond those named, so that few are empty.
 SLACK, SPARE = 0.15, 1.1
@@ -182,9 +188,10 @@ def _bound(a: str, b: str) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets link; the points' bound comes first."""
+    pairs = settle(pairs, "join-pairs")
     left = sets.select(F.col("doc_id").alias("a"), F.col("point").alias("pa"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("point").alias("pb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = join_spread(pairs, left, "a", "b").join(right, "b")
     total = F.size("sa") + F.size("sb")
     may = _bound("pa", "pb") * (100 + percent) >= total * percent
     shared = F.when(may, F.size(F.array_intersect("sa", "sb")))
@@ -212,8 +219,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     found = None
     for turn in range(ROUNDS):
         classed = met.withColumn("class", F.col("doc_id")) if found is None else _classed(met, found)
-        found = _joined(found, verified(_against_centres(classed, turn, percent), sets, percent))
-    found = _joined(found, verified(_across_leaves(_classed(met, found), sets, percent), sets, percent))
+        found = _joined(found, verified(_against_pivots(classed, turn, percent), sets, percent))
+    classed = met.withColumn("class", F.col("doc_id")) if found is None else _classed(met, found)
+    found = _joined(found, verified(descend(classed, sets, percent), sets, percent))
 
     several = _several(summary)
     if several.take(1):
@@ -245,26 +253,46 @@ def _between_sets(several: DataFrame, named: DataFrame, alike: DataFrame) -> Dat
 def _memberships(keys: DataFrame, named: DataFrame) -> DataFrame:
     """(key, doc_id, n): the first document of every set in the buckets where different sets meet.
 
-    A document that shares fewer groups, with whomever, than a linked pair must is left out.
+    A document that shares fewer groups, with whomever, than a linked pair must is left
+    out, and each one's most common groups are: a linked pair shares so many that one of
+    the rarer ones is among them.
     """
-    twice = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(F.col("key").alias("live")), "join-live")
-    met = keys.join(twice, F.col("key") == F.col("live")).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    keys = settle(keys, "join-keys")
+    twice = settle(_crowded(keys), "join-live")
+    met = join_hot(keys, twice, ("key",), "c").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     own = named.select(F.col("doc_id").alias("o"), "h1", "h2", "n", "groups", "shared", "shared_below")
     met = met.join(own, F.col("doc_id") == F.col("o")).withColumn("keys", _enough(F.col("keys"))).filter(F.size("keys") > 0)
     met = met.select("doc_id", "h1", "h2", "n", "groups", "shared", "shared_below", F.explode("keys").alias("key"))
     attributes = [F.first(c).alias(c) for c in ("groups", "shared", "shared_below")]  # the same for one set
     heads = settle(met.groupBy("key", "h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), *attributes), "join-heads")
     # copies of one set don't meet each other: once more, among different sets
-    several = settle(heads.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(F.col("key").alias("live")), "join-several")
-    met = heads.join(several, F.col("key") == F.col("live")).groupBy("doc_id", "n", "h1", "h2", "groups", "shared", "shared_below").agg(F.collect_list("key").alias("keys"))
-    return settle(met.select("doc_id", "n", F.explode(_enough(F.col("keys"))).alias("key")), "join-met")
+    several = settle(_crowded(heads).withColumn("often", F.col("c")), "join-several")
+    met = join_hot(heads, several, ("key",), "c").groupBy("doc_id", "n", "h1", "h2", "groups", "shared", "shared_below")
+    met = met.agg(F.collect_list(F.struct("often", "key")).alias("keys"))
+    return settle(met.select("doc_id", "n", F.explode(_rarest(F.col("keys"))).alias("key")), "join-met")
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(key, c) of the keys that several rows have."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
+
+
+def _by_role(keys: Column, key) -> list[tuple[Column, str]]:
+    """The keys of each role, with the column that says how many must be shared in it."""
+    own = lambda x: key(x).bitwiseAND(31) == F.col("groups")
+    return [(F.filter(keys, own), "shared"), (F.filter(keys, lambda x: ~own(x)), "shared_below")]
 
 
 def _enough(keys: Column) -> Column:
     """The keys of the roles in which a document shares enough groups."""
-    own, below = (F.filter(keys, lambda x: x.bitwiseAND(31) == F.col("groups")), F.filter(keys, lambda x: x.bitwiseAND(31) != F.col("groups")))
     none = F.array().cast("array<bigint>")
-    return F.concat(F.when(F.size(own) >= F.col("shared"), own).otherwise(none), F.when(F.size(below) >= F.col("shared_below"), below).otherwise(none))
+    return F.concat(*[F.when(F.size(x) >= F.col(need), x).otherwise(none) for x, need in _by_role(keys, lambda x: x)])
+
+
+def _rarest(keys: Column) -> Column:
+    """The keys of (often, key) but, in each role, the most common ones: one less than must be shared."""
+    some = [F.slice(F.sort_array(x), 1, F.greatest(F.size(x) - F.col(need) + 1, F.lit(0)).cast("int")) for x, need in _by_role(keys, lambda x: x["key"])]
+    return F.transform(F.concat(*some), lambda x: x["key"])
 
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -281,46 +309,99 @@ def _classed(met: DataFrame, found: DataFrame) -> DataFrame:
     """The memberships of buckets that still hold several classes, with the class."""
     classes = found.select(F.col("node"), F.col("root").alias("known"))
     classed = met.join(classes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("known", "doc_id").alias("class"))
-    open_ = classed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter(F.col("x") < F.col("y")).select(F.col("key").alias("open"))
-    return settle(classed.join(open_, F.col("key") == F.col("open")).select("key", "doc_id", "n", "class"), "join-open")
+    classed = settle(classed, "join-classed")
+    spread = classed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("many"))
+    open_ = settle(spread.filter(F.col("x") < F.col("y")).select("key", "many"), "join-open-keys")
+    return settle(join_hot(classed, open_, ("key",), "many"), "join-open")
 
 
-def _against_centres(classed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each bucket's centre with its members of other classes, sizes permitting."""
+def _against_pivots(classed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each tree's pivot with its members of other classes, sizes permitting."""
     rank = F.struct("doc_id", "n", "class") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), "doc_id", "n", "class")
-    centres = classed.groupBy("key").agg(F.min(rank).alias("c")).select(F.col("key").alias("c_key"), F.col("c.doc_id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.class").alias("c_class"))
-    centres = settle(centres, "join-centres")
+    pivots = classed.groupBy("key").agg(F.min(rank).alias("c"), F.count(F.lit(1)).alias("many"))
+    pivots = pivots.select("key", F.col("c.doc_id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.class").alias("c_class"), "many")
     near = (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent) & (F.col("class") != F.col("c_class"))
-    pairs = classed.join(centres, (F.col("key") == F.col("c_key")) & near)
+    pairs = join_hot(classed, settle(pivots, "join-pivots"), ("key",), "many").filter(near)
     return pairs.select(F.least("doc_id", "c_id").alias("a"), F.greatest("doc_id", "c_id").alias("b")).distinct()
 
 
-def _across_leaves(classed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different classes in one bucket that neither boxes nor points rule out.
+#: What a node is known by, from the root's children on; parts have levels of their own.
+PATH = ("own", "height", "part")
+BOX = ("lo", "hi", "n_lo", "n_hi", "corner")
+
+
+def _boxed(rows: DataFrame, by: list[str], corner: str, *more: Column) -> DataFrame:
+    """The nodes that ``rows`` with boxes (or points) fall into, with the box around them."""
+    nodes = rows.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.collect_list(corner).alias("corners"), *more)
+    top = F.aggregate("corners", F.array_repeat(F.lit(0), AXES), lambda s, c: F.zip_with(s, c, lambda x, y: F.greatest(x, y)))
+    return nodes.withColumn("corner", top).drop("corners")
 
-    A bucket is packed into leaves of about LEAF points, large classes apart and
-    small ones together, points of like size together. A leaf's box has the upper
-    corner of its points, the range of their sizes, and that of their classes.
+
+def packed(classed: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """The levels of all buckets' trees, from the roots' children to the leaves, which have ``members``.
+
+    Each has (key, node, parent) and the box. Large classes stand apart and small ones
+    together, then points of like size, then parts of about LEAF points by a hash.
     """
     points = sets.select(F.col("doc_id").alias("p_id"), "point").dropDuplicates(["p_id"])
-    rows = classed.join(points, F.col("doc_id") == F.col("p_id"))
-    sizes = settle(classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("many")).select(F.col("key").alias("k1"), F.col("class").alias("c1"), "many"), "join-sizes")
-    small = settle(sizes.filter(F.col("many") < LEAF).groupBy("k1").agg(F.sum("many").alias("few")).select(F.col("k1").alias("k2"), "few"), "join-small")
-    sized = rows.join(sizes, (F.col("key") == F.col("k1")) & (F.col("class") == F.col("c1"))).join(small, F.col("key") == F.col("k2"), "left")
-    large = F.col("many") >= LEAF
-    own = F.when(large, F.col("class"))
-    part = F.when(large, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("many") / LEAF))).otherwise(F.pmod(F.xxhash64("class"), F.ceil(F.col("few") / LEAF)))
+    sizes = settle(classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("many")), "join-sizes")
+    few = F.sum(F.when(F.col("many") < LEAF, F.col("many")).otherwise(0))
+    small = settle(sizes.groupBy("key").agg(few.alias("few"), F.sum("many").alias("all"), F.max("many").alias("most")), "join-small")
+    large = sizes.filter(F.col("many") >= LEAF).withColumn("weight", F.col("many"))
+    rows = join_hot(classed, small.select("key", "few", "all"), ("key",), "all")
+    big = join_hot(rows, settle(large, "join-large"), ("key", "class"), "weight")
+    rest = rows.join(large.select("key", "class"), ["key", "class"], "left_anti").withColumn("many", F.lit(None).cast("long"))
+    sized = big.unionByName(rest).join(points, F.col("doc_id") == F.col("p_id"))
+
+    own = F.when(F.col("many").isNotNull(), F.col("class"))
+    parts = F.greatest(F.ceil(F.coalesce("many", "few") / LEAF), F.lit(1))
+    part = F.pmod(F.when(F.col("many").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("class")), parts)
     height = F.floor(F.log("n") / float(np.log(100 / percent)))
-    leaves = sized.groupBy("key", own.alias("own"), height.alias("height"), part.alias("part")).agg(
-        F.collect_list(F.struct("doc_id", "n", "class", "point")).alias("members"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
-    )
-    corner = F.aggregate("members", F.array_repeat(F.lit(0), AXES), lambda s, m: F.zip_with(s, m["point"], lambda x, y: F.greatest(x, y)))
-    leaves = settle(leaves.withColumn("corner", corner).withColumn("leaf", F.xxhash64("own", "height", "part")), "join-leaves")
-    left, right = (leaves.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("leaf", "members", "lo", "hi", "n_lo", "n_hi", "corner")]) for s in "lr")
+    placed = sized.select("key", own.alias("own"), height.alias("height"), part.alias("part"), "doc_id", "n", "class", "point")
+    placed = placed.select("*", F.col("class").alias("lo"), F.col("class").alias("hi"), F.col("n").alias("n_lo"), F.col("n").alias("n_hi"))
+    leaves = settle(_boxed(placed, ["key", *PATH], "point", F.collect_list(F.struct("doc_id", "n", "class", "point")).alias("members")), "join-leaves")
+
+    levels, below = [leaves], leaves.drop("members")
+    most = (small.agg(F.max(F.greatest("few", "most"))).first()[0] or 0) / LEAF
+    while most > FAN:
+        most /= FAN
+        below = _boxed(below.withColumn("part", F.floor(F.col("part") / FAN)), ["key", *PATH], "corner")
+        levels.append(below)
+    for path in (PATH[:2], PATH[:1]):
+        below = _boxed(below, ["key", *path], "corner")
+        levels.append(below)
+    levels = levels[::-1]
+
+    def name(depth: int, level: int) -> Column:
+        """The number of a node's ancestor (or of itself) on a level, from a node on the level ``depth``."""
+        columns = [F.col(c) for c in PATH[: min(level + 1, 3)]]
+        if level >= 2:
+            columns[2] = F.floor(columns[2] / FAN ** (depth - level))
+        return F.xxhash64(F.lit(level), *columns)
+
+    return [x.select("key", name(i, i).alias("node"), (name(i, i - 1) if i else F.lit(0)).alias("parent"), *BOX, *(["members"] if i == len(levels) - 1 else [])) for i, x in enumerate(levels)]
+
+
+def descend(classed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different classes in one bucket that neither boxes nor points rule out."""
+    levels = packed(classed, sets, percent)
+    sides = lambda level, s, more=(): level.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "parent", *BOX, *more)])
     one_class = (F.col("l_lo") == F.col("l_hi")) & (F.col("r_lo") == F.col("r_hi")) & (F.col("l_lo") == F.col("r_lo"))
     reach = (F.col("l_n_hi") * 100 >= F.col("r_n_lo") * percent) & (F.col("r_n_hi") * 100 >= F.col("l_n_lo") * percent)
     bound = _bound("l_corner", "r_corner") * (100 + percent) >= (F.col("l_n_lo") + F.col("r_n_lo")) * percent
-    boxes = left.join(right, "key").filter((F.col("l_leaf") <= F.col("r_leaf")) & ~one_class & reach & bound)
+    open_ = (F.col("l_node") <= F.col("r_node")) & ~one_class & reach & bound
+    # the roots' children of a bucket: its large classes, and all small ones together
+    pairs = sides(levels[0], "l").join(sides(levels[0], "r"), "key").filter(open_).select("key", "l_node", "r_node")
+    for level in levels[1:]:
+        last = ("members",) if "members" in level.columns else ()
+        above = settle(pairs.select("key", F.col("l_node").alias("l_parent"), F.col("r_node").alias("r_parent")), "join-nodes")
+        left, right = sides(level, "l", last), sides(level, "r", last)
+        # a node and itself: each pair of children once; two nodes: all pairs of children, by number
+        both = above.join(left, ["key", "l_parent"]).join(right, ["key", "r_parent"])
+        within = F.when(F.col("l_parent") == F.col("r_parent"), F.col("l_node") <= F.col("r_node")).otherwise(True)
+        both = both.filter(within & ~one_class & reach & bound)
+        if not last:
+            pairs = both.select("key", "l_node", "r_node")
 
     def may(p, q):
         near = (F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * percent) & (p["class"] != q["class"])
@@ -329,5 +410,5 @@ def _across_leaves(classed: DataFrame, sets: DataFrame, percent: int) -> DataFra
     def partners(p):
         return F.transform(F.filter("r_members", lambda q: may(p, q)), lambda q: F.struct(F.least(p["doc_id"], q["doc_id"]).alias("a"), F.greatest(p["doc_id"], q["doc_id"]).alias("b")))
 
-    pairs = boxes.select(F.explode(F.flatten(F.transform("l_members", partners))).alias("pair"))
-    return pairs.select("pair.a", "pair.b").distinct()
+    found = both.select(F.explode(F.flatten(F.transform("l_members", partners))).alias("pair"))
+    return found.select("pair.a", "pair.b").distinct()

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import SF
-from tallygrid.llm import extraction, language, ngramjoin, quality, repetition, toxicity
+from tallygrid.llm import common, extraction, language, ngramjoin, quality, repetition, toxicity
 from tallygrid.llm.words import filled
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables missing")
@@ -69,10 +69,13 @@ def near_copies(seed, groups, copies, chain):
     return texts
 
 
-@pytest.mark.parametrize("k, percent, leaf", [(3, 90, 128), (5, 80, 4)])
-def test_join_finds_every_class(spark, monkeypatch, k, percent, leaf):
+@pytest.mark.parametrize("k, percent, leaf, rounds", [(3, 90, 128, 2), (5, 80, 4, 1), (5, 80, 2, 0)])
+def test_join_finds_every_class(spark, monkeypatch, k, percent, leaf, rounds):
+    """Without rounds, every link between different sets is the descent's; small leaves make trees of many levels."""
     monkeypatch.setattr(ngramjoin, "LEAF", leaf)
-    monkeypatch.setattr(ngramjoin, "ROUNDS", 1)
+    monkeypatch.setattr(ngramjoin, "FAN", 2 if leaf < 128 else 8)
+    monkeypatch.setattr(ngramjoin, "ROUNDS", rounds)
+    monkeypatch.setattr(common, "HOT_ROWS", 20 if leaf < 128 else 1000)
     texts = ODD[:8] + near_copies(k, 6, 12, 25)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.link(frame(spark, texts), k=k, percent=percent).collect()}
     assert got == classes(texts, k, percent)
