@@ -46,7 +46,7 @@ AXES = 64
 #: Points in a leaf, and children of an inner node below the levels of class and size.
 LEAF, FAN = 128, 8
 #: Rounds against one pivot before the descent.
-ROUNDS = 2
+ROUNDS = 1
 #: Groups named beyond those that decide, by share, and groups beyond those named, so that few are empty.
 SLACK, SPARE = 0.15, 1.1
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
