@@ -25,24 +25,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies; rows of one id stay together."""
-    gone = ngramjoin.link(docs, k=SHINGLE, percent=PERCENT).filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    linked = ngramjoin.link(docs, k=SHINGLE, percent=PERCENT)
+    gone = linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(settle(gone, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of fifty words or more that an earlier one has."""
-    return substrings.rewrite(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents without the passages of fifty words or more that an earlier one has.
+
+    A column n_chars, where there is one, counts the characters that are left.
+    """
+    cut = substrings.rewrite(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to a twentieth of their words."""
     judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = settle(judged.filter("contaminated").select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag")).distinct(), "pipeline-contaminated")
+    hit = judged.filter("contaminated").select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag")).distinct()
+    gone = settle(hit, "pipeline-contaminated")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]) & (F.xxhash64(docs["text"]) == gone["g_tag"]), "left_anti")
 
 
 def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of their copies."""
+    """The documents that the mix takes, with the number of their copies.
+
+    Columns of docs named size, source_size, target, copies or taken give way to the mix's.
+    """
     return mixing.mix(docs, whole_rows=True).filter(F.col("copies") > 0)
 
 
