@@ -1,18 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are byte n-grams inside words (a space marks a word's start and end). Examples
-are unit vectors of term frequency (logarithmic) times inverse document frequency,
-and two indexes hold them.
+Examples are unit vectors of term frequency (logarithmic) times inverse document
+frequency, and two indexes hold them.
 
-The whole index has every term of every example: no term is cut by its count, its
-label or its rank. The documents that hold a term are counted over all documents.
+The whole index has the words of every example and their beginnings of 4, 5 and 6
+bytes: no term is cut by its count, its label or its rank. The documents that hold a term are counted over all documents.
 Cosines with all examples are computed in full, by a matrix product for the most
 frequent terms and by posting lists for the rest, and a text's norm counts all its
 terms. A term that no example has isn't counted over the documents; it weighs, in
 norms only, as if in one document.
 
-The tied index holds the ``TERMS`` terms that the labelled sample ties to a label
-most, by the log-likelihood ratio, of those in at least ``LEAST_EXAMPLES`` examples; its
+The tied index holds byte n-grams inside words (a space marks a word's start and end):
+the ``TERMS`` of them that the labelled sample ties to a label most, by the log-likelihood ratio, of those in at least ``LEAST_EXAMPLES`` examples; its
 document frequencies are the sample's. Its postings are cut into blocks of examples:
 each term keeps the largest weight of every block, so a query bounds a block's best
 cosine by one sum; blocks are scored exactly, best bound first, until no bound can
@@ -46,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import remainder
 from tallygrid.llm.quality import labelled
-from tallygrid.llm.words import filled, raw_bytes, slices
+from tallygrid.llm.words import Runs, filled, mixed, raw_bytes, slices
 
 ORDERS = (4, 5, 6, 8)
 TERMS = 1024
@@ -55,7 +54,9 @@ BLOCK = 32
 NEAREST = 15
 FILTER_BITS = 20
 #: The whole index's most frequent terms, scored by a matrix product; texts and postings scored together. Speed and memory only.
-FREQUENT, TOGETHER, ROOM = 4096, 256, 1 << 20
+FREQUENT, TOGETHER, ROOM = 512, 256, 1 << 20
+#: Bytes of the beginnings of words.
+BEGINNINGS = (4, 5, 6)
 HASHER = np.uint64(0x9E3779B97F4A7C15)
 
 _FOLDED = np.arange(256, dtype=np.uint8)
@@ -93,17 +94,32 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start += part.num_rows
 
 
+def whole_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(term, index of the text): words and their beginnings, as 64-bit hashes taken as exact."""
+    end, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    data, at = raw_bytes(pc.binary_join_element_wise(end, pc.utf8_lower(texts), end, space))
+    data = _FOLDED[data]
+    full = np.concatenate(([False], data != 32, [False]))
+    start, stop = np.flatnonzero(full[1:] & ~full[:-1]), np.flatnonzero(full[:-1] & ~full[1:])
+    own = np.searchsorted(at, start, side="right") - 1
+    runs = Runs(mixed(data.astype(np.uint64)))
+    codes, owners = [mixed(runs.hash(start, stop))], [own]
+    for n in BEGINNINGS:
+        long = stop - start > n
+        codes.append(runs.hash(start[long], start[long] + n))
+        owners.append(own[long])
+    return np.concatenate(codes), np.concatenate(owners)
+
+
 def frequencies(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, place of the term in the codes, frequency, distinct codes), for parts of the texts and each order."""
+    """(text, place of the term in the codes, frequency, distinct codes), for parts of the texts."""
     for start, part in _parts(texts):
-        for code, own in terms(part):
-            if len(code):
-                by = np.argsort(code, kind="stable")  # texts stay in order within a code
-                code, own = code[by], own[by]
-                new = np.concatenate(([True], code[1:] != code[:-1]))
-                first = np.flatnonzero(new | np.concatenate(([True], own[1:] != own[:-1])))
-                new = new[first]
-                yield own[first] + start, np.cumsum(new) - 1, np.diff(np.append(first, len(code))), code[first[new]]
+        code, own = whole_terms(part)
+        if len(code):
+            coded = pa.array(code).dictionary_encode()
+            pair = np.sort(coded.indices.to_numpy().astype(np.int64) * len(part) + own)
+            first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            yield pair[first] % len(part) + start, pair[first] // len(part), np.diff(np.append(first, len(pair))), coded.dictionary.to_numpy()
 
 
 def numbers(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -159,8 +175,8 @@ class Whole:
             at = slice(self.ends[t], self.ends[t + 1])
             self.matrix[i, self.example[at]] = self.weight[at]
 
-    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term number, frequency, weight) of the texts' terms that examples have, by text; norms are over all terms."""
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term number, weight) of the texts' terms that examples have, by text; norms are over all terms."""
         found, squares = [], np.zeros(len(texts))
         for row, at, n, code in frequencies(texts):
             number = numbers(self.codes, code)
@@ -168,13 +184,13 @@ class Whole:
             weight = (1 + np.log(n)) * idf[at]
             squares += np.bincount(row, weight**2, len(texts))
             known = number[at] >= 0
-            found.append((row[known], number[at[known]], n[known], weight[known]))
+            found.append((row[known], number[at[known]], weight[known]))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        row, term, n, weight = (np.concatenate(x) for x in zip(*found))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        row, term, weight = (np.concatenate(x) for x in zip(*found))
         by = np.argsort(row.astype(np.uint16) if len(texts) < 1 << 16 else row, kind="stable")
-        row, term, n = row[by], term[by], n[by]
-        return row, term, n, (weight[by] / np.sqrt(squares)[row]).astype(np.float32)
+        row, term = row[by], term[by]
+        return row, term, (weight[by] / np.sqrt(squares)[row]).astype(np.float32)
 
     def cosines(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray]]:
         """(first text, cosines of some texts from it on with every example)."""
@@ -213,7 +229,7 @@ class Whole:
         """The nearest of the examples' texts, each besides itself; few at a time, as this runs on the driver."""
         for start in range(0, len(texts), 64):
             part = texts.slice(start, 64)
-            row, term, _, weight = self.vectors(part)
+            row, term, weight = self.vectors(part)
             yield from self.nearest(row, term, weight, len(part), start)
 
 
@@ -267,8 +283,6 @@ class Neighbours:
         by = np.lexsort((term, place[row]))
         self.postings = place[row][by], term[by], weight[by]
         self._build()
-        # in the tied terms, numbered as in the whole index
-        self.tied = numbers(self.lookup.codes, self.whole.codes) if len(self.lookup.codes) else np.full(len(self.whole.codes), -1)
         voters = [(np.zeros(0), np.zeros(0))] * rows
         for i, (near, cosine) in zip(order, self._leave_out()):
             voters[i] = self.labels[near], cosine
@@ -325,21 +339,18 @@ class Neighbours:
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         """(scores, evidence) of the texts; evidence is (id, label, cosine, terms) of the examples that voted."""
-        row, term, n, whole = self.whole.vectors(texts)
         evidence: list[list[dict]] = [[] for _ in range(len(texts))]
 
         def heard(i: int, kind: str, ids: np.ndarray, labels: np.ndarray, cosine: np.ndarray) -> None:
             evidence[i] += [{"id": d, "label": int(y), "cosine": float(c), "terms": kind} for d, y, c in zip(ids.tolist(), labels, cosine)]
 
-        tied = self.tied[term]
-        some = tied >= 0
-        by = np.lexsort((tied[some], row[some]))
-        t_row, t_term, t_n = row[some][by], tied[some][by], n[some][by]
-        weight = self._unit(t_row, t_term, t_n, len(texts))
-        cut = np.searchsorted(t_row, np.arange(len(texts) + 1))
+        row, term, n = self.lookup.counts(texts)
+        weight = self._unit(row, term, n, len(texts))
+        cut = np.searchsorted(row, np.arange(len(texts) + 1))
         for i in np.flatnonzero(np.diff(cut)):
-            near, cosine = self.nearest(t_term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
+            near, cosine = self.nearest(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
             heard(i, "tied", self.ids[near], self.labels[near], cosine)
+        row, term, whole = self.whole.vectors(texts)
         for i, (near, cosine) in enumerate(self.whole.nearest(row, term, whole, len(texts))):
             heard(i, "all", self.all_ids[near], self.all_labels[near], cosine)
         votes = np.array([self.vote(np.array([e["label"] for e in x]), np.array([e["cosine"] for e in x])) for x in evidence])

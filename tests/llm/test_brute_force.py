@@ -336,7 +336,7 @@ def test_neighbours_are_over_all_terms(spark):
     model = toxicity.learn(docs, labels)
     learnt = [i for i in range(121) if zlib.crc32(str(i).encode()) % 5]
     assert learnt[-1] == 120 and model.all_ids.tolist() == learnt
-    counts = lambda t: Counter(bytes(w[i : i + n]) for w in (b" " + v + b" " for v in (t or "").encode().split()) for n in toxicity.ORDERS for i in range(len(w) - n + 1) if b" " not in w[1:-1])
+    counts = lambda t: Counter(g for w in (t or "").encode().split() for g in [w + b" ", *(w[:n] for n in toxicity.BEGINNINGS if len(w) > n)])
     every = [counts(t) for t in texts + unlabelled]
     df, known = Counter(g for c in every for g in c), {g for i in learnt for g in every[i]}
     assert len(model.whole.codes) == len(known)
@@ -351,6 +351,12 @@ def test_neighbours_are_over_all_terms(spark):
         assert np.allclose([e["cosine"] for e in got[i]], best, atol=3e-6)
         assert all(abs(e["cosine"] - cosine[e["id"]]) < 3e-6 for e in got[i])
     assert (got[121][0]["id"], got[121][0]["label"]) == (120, 1) and abs(got[121][0]["cosine"] - 1) < 3e-6
+    # the vote and the curve, from all the evidence that is given
+    a, b = model.curve
+    for r in toxicity.score(docs, model).collect():
+        weights = [e["cosine"] ** 2 for e in r["evidence"]]
+        vote = (sum(w for w, e in zip(weights, r["evidence"]) if e["label"]) + 0.1 * model.prior) / (sum(weights) + 0.1)
+        assert abs(r["score"] - 1 / (1 + np.exp(-(a * vote + b)))) < 1e-6
 
 
 def test_classifiers_without_labels(spark):
