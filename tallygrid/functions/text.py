@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 # White space as scripts in browsers trim it.
 WHITE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
+# The features that a device report tells of.
+FEATURES = (
+    "promise", "fetch", "fileReader", "fileInput", "canvas", "webAssembly", "mediaDevices", "getUserMedia", "localStorage", "serviceWorker", "moduleScripts",
+)
+
 
 def trim(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{WHITE}+|{WHITE}+$", "")
+    # \z: the very end, as $ also stands before a last line's end
+    return F.regexp_replace(value, rf"\A{WHITE}+|{WHITE}+\z", "")
 
 
 def escape_html(value: Column, null_as: str = "null") -> Column:
@@ -57,6 +63,25 @@ def prompt_shape(prompt: Column) -> Column:
     return F.regexp_replace(prompt, r"[0-9]+", "N")
 
 
+def device_report(facts: dict[str, Column], features: dict[str, Column], photo: Column) -> Column:
+    """struct of what a page finds out about its device, with the system version, ``features`` (FEATURES) and a photo.
+
+    ``facts`` may lack any; texts are then empty, sizes unknown, the pixel ratio 1 and
+    switches off. A feature that isn't given isn't there.
+    """
+    def fact(name: str, default) -> Column:
+        given = facts.get(name)
+        return (F.lit(default) if given is None else F.coalesce(given, F.lit(default))).alias(name)
+
+    agent = fact("userAgent", "")
+    here = [F.coalesce(features.get(c, F.lit(False)), F.lit(False)).alias(c) for c in FEATURES]
+    return F.struct(
+        fact("url", ""), fact("loadedAt", ""), agent, fact("platform", ""), fact("vendor", ""), system_version(agent).alias("iosVersion"),
+        fact("online", False), fact("cookieEnabled", False), fact("screen", "unknown"), fact("devicePixelRatio", 1.0), fact("viewport", ""),
+        F.struct(*here).alias("features"), photo.alias("photo"),
+    )
+
+
 def capability(features: Column) -> Column:
     """modern, fallback or bad by a struct of feature booleans."""
     modern = features["promise"] & features["fetch"] & features["wasm"] & features["modules"] & features["camera"]

@@ -21,13 +21,30 @@ def payload(template: Column, version: Column, checksum: Column) -> Column:
     return F.concat_ws(":", F.lit(PAYLOAD_KIND), template, version.cast("string"), checksum)
 
 
+def payload_struct(template: Column, version: Column, layout: Column, checksum: Column, instance: Column | None = None) -> Column:
+    """The payload as a registry lists it; the sheet instance is the template's classroom set unless given."""
+    sheet = F.concat(template, F.lit("-classroom-set")) if instance is None else instance
+    return F.struct(
+        F.lit(1).alias("schema_version"), template.alias("template_id"), version.cast("int").alias("template_version"),
+        sheet.alias("sheet_instance_id"), layout.alias("layout_id"), checksum.alias("answer_key_checksum"),
+    )
+
+
+# What form encoding escapes and an address component doesn't, and the space.
+COMPONENT = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
+
+
 def payload_url(base: Column, text: Column) -> Column:
-    return F.concat(base, F.lit("?sg="), F.url_encode(text))
+    encoded = F.url_encode(text)
+    for form, component in COMPONENT:
+        encoded = F.replace(encoded, F.lit(form), F.lit(component))
+    return F.concat(base, F.lit("?sg="), encoded)
 
 
 def read_payload(url: Column) -> Column:
     """struct(kind, template, version, checksum) of a payload URL; nulls where it isn't one."""
-    text = F.try_url_decode(F.regexp_extract(url, r"[?&]sg=([^&#]*)", 1))
+    # in a component a plus is itself
+    text = F.try_url_decode(F.replace(F.regexp_extract(url, r"[?&]sg=([^&#]*)", 1), F.lit("+"), F.lit("%2B")))
     parts = F.split(text, ":")
     good = (F.size(parts) == 4) & (F.get(parts, F.lit(0)) == PAYLOAD_KIND)
     names = ("kind", "template", "version", "checksum")

@@ -18,6 +18,11 @@ DEVICE = "struct<userAgent: string, platform: string, online: boolean, screen: s
 RECORD = f"struct<id: string, savedAt: string, studentName: string, worksheet: string, worksheetLabel: string, photo: {PHOTO}, device: {DEVICE}>"
 
 
+def iso(at: Column) -> Column:
+    """An instant as text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def load(stored: Column) -> Column:
     """The records in a stored JSON array; missing or malformed text has none."""
     return F.coalesce(F.from_json(stored, f"array<{RECORD}>", {"mode": "PERMISSIVE"}), F.array().cast(f"array<{RECORD}>"))
@@ -32,8 +37,8 @@ def append(records: DataFrame, captures: DataFrame) -> DataFrame:
     """The records with all acceptable captures (name, worksheet, photo, device, at) added."""
     good = captures.filter(rejection(F.col("name"), F.col("photo.selected")).isNull())
     added = good.select(
-        F.concat(F.lit("legacy-"), F.unix_millis("at").cast("string")).alias("id"),
-        F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("savedAt"),
+        F.concat(F.lit("legacy-"), F.unix_millis(F.col("at").cast("timestamp")).cast("string")).alias("id"),
+        iso(F.col("at").cast("timestamp")).alias("savedAt"),
         trim(F.col("name")).alias("studentName"),
         "worksheet",
         label_of(F.col("worksheet"), WORKSHEETS).alias("worksheetLabel"),
@@ -58,16 +63,41 @@ def write(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").parquet(path)
 
 
-def cards(records: DataFrame) -> DataFrame:
-    """(name, worksheet, photo, saved): what a record's card shows, escaped, with defaults."""
+NO_RECORDS = "No saved records yet."
+
+
+def cards(records: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """(place, name, worksheet, photo, saved): what each record's card shows, escaped, with defaults.
+
+    ``place`` counts from 0 in ``order`` (by time of saving, then id), which is that of
+    appending; it is what a record is deleted by.
+    """
     def shown(value: Column, default: str = "") -> Column:
         return escape_html(F.coalesce(F.nullif(value, F.lit("")), F.lit(default)))
 
     photo = F.concat(shown(F.col("photo.name"), "selected image"), F.lit(" ("), human_bytes(F.col("photo.size")), F.lit(")"))
-    return records.select(shown(F.col("studentName"), "Unnamed student").alias("name"), shown(F.col("worksheetLabel")).alias("worksheet"), photo.alias("photo"), shown(F.col("savedAt")).alias("saved"))
-
-
-def report(records: DataFrame, group: list[str], page: Column) -> DataFrame:
-    """One JSON text for each group: when, the page, and the group's records."""
-    body = F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), page.alias("page"), F.collect_list(F.struct(*[c for c in records.columns if c not in group])).alias("records"))
+    place = F.row_number().over(Window.orderBy(*(order or ["savedAt", "id"]))) - 1
+    return records.select(
+        place.alias("place"), shown(F.col("studentName"), "Unnamed student").alias("name"), shown(F.col("worksheetLabel")).alias("worksheet"),
+        photo.alias("photo"), shown(F.col("savedAt")).alias("saved"),
+    )
+
+
+def headline(records: DataFrame) -> DataFrame:
+    """(message): one row that says so if there is no record, else null."""
+    return records.agg(F.when(F.count(F.lit(1)) == 0, F.lit(NO_RECORDS)).alias("message"))
+
+
+def report(records: DataFrame, group: list[str], page: Column, device: Column | None = None, photo: Column | None = None, at: Column | None = None) -> DataFrame:
+    """One JSON text for each group: when, the page, the device, the current photo, and the group's records in order.
+
+    A group is what one device has stored, so its records fit in one text.
+    """
+    own = [c for c in records.columns if c not in group]
+    listed = F.sort_array(F.collect_list(F.struct(*[c for c in ("savedAt", "id") if c in own], *[c for c in own if c not in ("savedAt", "id")])))
+    body = F.struct(
+        iso(F.current_timestamp() if at is None else at).alias("generatedAt"), page.alias("page"),
+        (F.lit(None).cast(DEVICE) if device is None else device).alias("device"),
+        (F.lit(None).cast(PHOTO) if photo is None else photo).alias("currentPhoto"), listed.alias("records"),
+    )
     return records.groupBy(*group).agg(F.to_json(body, {"pretty": "true"}).alias("report"))

@@ -40,12 +40,6 @@ def greedy_argmax(spark, sf_dir):
     return step.select("vec_id", "s.token", F.round("s.probability", 10).alias("probability"))
 
 
-@query(f"select label, round(min({PROBABILITY}), 10) as least, round(avg({PROBABILITY}), 10) as mean, count(*) as steps from embeddings group by label")
-def sequence_confidence(spark, sf_dir):
-    step = _read(spark, sf_dir, "embeddings").select("label", decode.greedy_step(F.col("embedding"))["probability"].alias("p"))
-    return step.groupBy("label").agg(F.round(F.min("p"), 10).alias("least"), F.round(F.avg("p"), 10).alias("mean"), F.count(F.lit(1)).alias("steps"))
-
-
 @query("select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: round(x / 127.5 - 1, 9))), 6) as total, round(list_max(embedding)::double / 127.5 - 1, 9) as most from embeddings")
 def affine_pixels(spark, sf_dir):
     scaled = _read(spark, sf_dir, "embeddings").select("vec_id", decode.affine_pixels(F.col("embedding")).alias("v"))
@@ -115,7 +109,7 @@ select s_suppkey, 'https://example.org/draft/?sg=' || url_encode('SG1:' || s_nam
 def payload_codec(spark, sf_dir):
     checksum = integrity.key_checksum(F.array(F.col("s_suppkey")))
     urls = _read(spark, sf_dir, "supplier").select("s_suppkey", integrity.payload_url(F.lit("https://example.org/draft/"), integrity.payload(F.col("s_name"), F.lit(1), checksum)).alias("url"))
-    return urls.select("s_suppkey", "url", integrity.read_payload(F.col("url")).alias("p")).select("s_suppkey", F.replace("url", F.lit("+"), F.lit("%20")).alias("url"), "p.template", "p.version", "p.checksum")
+    return urls.select("s_suppkey", "url", integrity.read_payload(F.col("url")).alias("p")).select("s_suppkey", "url", "p.template", "p.version", "p.checksum")
 
 
 _ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -178,17 +172,10 @@ def enum_label(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", text.label_of(F.col("o_orderpriority"), {"1-URGENT": "Sheet 1", "2-HIGH": "Sheet 2"}).alias("label"))
 
 
-@query("select o_orderkey, l_linenumber, l_partkey, l_quantity from orders join lineitem on o_orderkey = l_orderkey")
-def nested_explode(spark, sf_dir):
-    """Orders as documents of lines, flattened again: a document's boxes, or questions."""
-    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("lines"))
-    documents = _read(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return documents.select("o_orderkey", F.inline("lines"))
-
-
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select doc_id, source from documents where doc_id not in (select doc_id from labels)")
 def missing_reference(spark, sf_dir):
-    return integrity.without(_read(spark, sf_dir, "customer"), "c_custkey", _read(spark, sf_dir, "orders"), "o_custkey").select("c_custkey", "c_name")
+    """Documents without a label."""
+    return integrity.without(_read(spark, sf_dir, "documents"), "doc_id", _read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
 @query("select c_custkey as template_id, c_name as title, c_mktsegment as family, null::double as balance from customer union all select s_suppkey, s_name, null, s_acctbal from supplier")
@@ -218,11 +205,6 @@ def positional_delete(spark, sf_dir):
     return records.without_position(_read(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], 2)
 
 
-@query("select n_name as prompt, chr(64 + n_nationkey + 1) as item, n_regionkey as answer from nation")
-def teacher_key(spark, sf_dir):
-    return _read(spark, sf_dir, "nation").select(F.col("n_name").alias("prompt"), F.char(F.col("n_nationkey") + 65).alias("item"), F.col("n_regionkey").alias("answer"))
-
-
 @query("""
 select p_partkey, p_size / 50.0::double - 0.05::double >= 0.1::double - 0.002::double and p_size / 50.0::double <= 0.1::double + 0.6::double + 0.002::double
        and p_retailprice / 2000 - 0.05::double >= 0.2::double - 0.002::double and p_retailprice / 2000 <= 0.2::double + 0.5::double + 0.002::double as inside from part""")
@@ -276,3 +258,6 @@ def variant_fields(spark, sf_dir):
     a = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type")
     b = a.withColumn("p_size", F.col("p_size") + (F.col("p_partkey") % 2).cast("int")).withColumn("p_type", F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")))
     return integrity.differing_fields(a, b, "p_partkey").select("p_partkey", F.array_join("fields", ",").alias("fields"))
+
+
+from tallygrid.plans import sheets  # noqa: E402, F401 (registers its queries here)

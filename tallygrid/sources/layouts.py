@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.operators.answers import accepted_labels, canonical_label, digits_of
+from tallygrid.operators.decode import digit_limit
+from tallygrid.operators.integrity import key_checksum
 
 RECT = "x: double, y: double, width: double, height: double"
 POLICY = (
@@ -71,10 +73,59 @@ def graded_regions(layouts: DataFrame) -> DataFrame:
     return layouts.select("layout_id", F.inline("work_regions")).filter(F.col("graded"))
 
 
-def teacher_key(layouts: DataFrame) -> DataFrame:
-    """(human_code, item, prompt, answer): a letter for each question, in order."""
+def item_letters(number: Column) -> Column:
+    """A, B, ... Z, AA, AB, ...: the name of the question by its number from 1."""
+    n = number.cast("int") - 1
+    last = F.char(F.lit(65) + F.pmod(n, F.lit(26)))
+    return F.when(n < 26, last).otherwise(F.concat(F.char(F.lit(64) + F.floor(n / 26)), last))
+
+
+def teacher_key(layouts: DataFrame, numbered: bool = False) -> DataFrame:
+    """(human_code, item, prompt, answer): a letter for each question, in order.
+
+    ``numbered``: the question's number instead, and the prompt as an equation to complete.
+    """
     rows = layouts.select(F.col("metadata.human_code").alias("human_code"), F.inline("question_groups"))
-    return rows.select("human_code", F.char(F.lit(64) + F.col("question_num")).alias("item"), F.col("problem").alias("prompt"), "answer").orderBy("human_code", "item")
+    item = F.col("question_num").cast("string") if numbered else item_letters(F.col("question_num"))
+    prompt = F.concat("problem", F.lit(" =")) if numbered else F.col("problem")
+    return rows.orderBy("human_code", "question_num").select("human_code", item.alias("item"), prompt.alias("prompt"), "answer")
+
+
+def family_counts(layouts: DataFrame) -> DataFrame:
+    """(curriculum_tier, layout_family, layouts): how many layouts there are of each."""
+    kind = [F.col(f"metadata.{c}").alias(c) for c in ("curriculum_tier", "layout_family")]
+    return layouts.groupBy(*kind).agg(F.count(F.lit(1)).alias("layouts"))
+
+
+def digit_caps(layouts: DataFrame) -> DataFrame:
+    """(layout_id, question_num, slots, limit, optional): the contract that each question's answer is read under."""
+    slots = F.size("digit_box_ids")
+    asked = questions(layouts).select("layout_id", "question_num", slots.alias("slots"), digit_limit(F.coalesce("max_handwritten_digits", slots).cast("double")).alias("limit"))
+    blank = optional_slots(layouts).withColumnRenamed("slots", "optional")
+    return asked.join(blank, ["layout_id", "question_num"], "left").withColumn("optional", F.coalesce("optional", F.array().cast("array<int>")))
+
+
+def placements(layouts: DataFrame) -> DataFrame:
+    """(layout_id, question_num, label): the accepted placements; only the exact one where the policy's flag is off."""
+    flag = F.coalesce("metadata.grading_policy.shorter_answers_accept_left_or_right_placement", F.lit(True))
+    rows = layouts.select("layout_id", flag.alias("flag"), F.inline("question_groups"))
+    slots = F.size("digit_box_ids")
+    every, exact = accepted_labels(F.col("answer"), slots), F.array_compact(F.array(canonical_label(F.col("answer"), slots)))
+    return rows.select("layout_id", "question_num", F.explode(F.when(F.col("flag"), every).otherwise(exact)).alias("label"))
+
+
+def disagreements(catalog: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(layout_id, fields): the catalog's fields that the layout of that id doesn't confirm; null if there is no layout.
+
+    Fields that the catalog leaves out agree.
+    """
+    names = ("total_questions", "answer_box_count", "layout_family", "curriculum_tier", "grade_level", "human_code", "title")
+    own = layouts.select(F.col("layout_id").alias("_id"), "metadata", key_checksum(F.col("answer_key")).alias("_sum")).dropDuplicates(["_id"])
+    differs = [F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"metadata.{c}")), F.lit(c)) for c in names if c in catalog.columns]
+    if "answer_key_checksum" in catalog.columns:
+        differs.append(F.when(F.col("answer_key_checksum") != F.col("_sum"), F.lit("answer_key_checksum")))
+    pairs = catalog.join(own, F.col("layout_id") == F.col("_id"), "left")
+    return pairs.select("layout_id", F.when(F.col("_id").isNotNull(), F.array_compact(F.array(*differs))).alias("fields"))
 
 
 def _all(values: Column) -> Column:
