@@ -412,3 +412,17 @@ def descend(classed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     found = both.select(F.explode(F.flatten(F.transform("l_members", partners))).alias("pair"))
     return found.select("pair.a", "pair.b").distinct()
+
+
+ORACLE = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') as g
+      from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * c >= 90 * (x.n + y.n - c)),
+r(doc, other) as (select a, b from l union select r.doc, l.b from r join l on l.a = r.other)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.top, d.doc_id)) as component_id
+from d left join n using (doc_id) left join (select doc, min(other) as top from r group by doc) m on m.doc = d.doc_id
+"""

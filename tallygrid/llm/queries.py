@@ -23,7 +23,9 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_span_words", "longest_repeat")
+    judged = repetition.judge(table(spark, sf_dir, "documents"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(*base, "n_span_words", (F.col("longest_repeat") > 50).alias("long_repeat"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_ngram_join": ngramjoin.ORACLE,
+    "op4_repetition": repetition.ORACLE,
     "op7_url_filters": urlfilter.ORACLE,
     "op8_substrings": substrings.ORACLE,
     "op9_mixing": mixing.ORACLE,

@@ -143,3 +143,22 @@ def judge(
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     within = (F.col("n_span_words") * 100 <= F.col("n_words") * max_span_percent) & (F.col("longest_repeat") <= max_longest)
     return got.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
+
+
+#: Of the default limits: words in repeats of ten words or more lie in ten-word windows found twice,
+#: and the longest repeat is over fifty words where a window of fifty-one is found twice.
+ORACLE = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select r, k, s, hash(list_slice(ws, s, s + k - 1)) as h
+      from (select r, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as s from d, (values (5), (10), (51)) v(k) where len(ws) >= k)),
+twice as (select r, k, s from (select *, count(*) over (partition by r, k, h) as n from w) where n > 1),
+c as (select r, k, count(distinct place) as n from (select r, k, unnest(generate_series(s, s + k - 1)) as place from twice) group by r, k),
+lines as (select r, unnest(string_split(t, chr(10))) as line from d),
+dup as (select r, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+m as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,
+             coalesce(c5.n, 0)::bigint as n_repeat_words, coalesce(c10.n, 0)::bigint as n_span_words, c51.n is not null as long_repeat
+      from d left join dup using (r) left join c c5 on c5.r = d.r and c5.k = 5 left join c c10 on c10.r = d.r and c10.k = 10 left join c c51 on c51.r = d.r and c51.k = 51),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select *, not base_failed and 100 * n_span_words <= 15 * n_words and not long_repeat as kept from b
+"""
