@@ -83,21 +83,38 @@ def join_hot(rows: DataFrame, marks: DataFrame, keys: tuple[str, ...], n: str) -
     return rows.join(F.broadcast(hot), list(keys)).unionByName(rest.join(cold, list(keys)))
 
 
+def hot_parts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, parts): for each key with more than a ``HOT_SHARE``-th of the rows, how many tasks should share them.
+
+    There are fewer than ``HOT_SHARE`` such keys, so it can be broadcast. ``rows`` are read twice.
+    """
+    least = max(rows.count() // HOT_SHARE, HOT_ROWS)
+    parts = F.ceil(F.count(F.lit(1)) / least).cast("int")
+    return settle(rows.groupBy(key).agg(parts.alias("parts")).filter(F.col("parts") > 1), "hot-keys")
+
+
 def join_spread(rows: DataFrame, wide: DataFrame, key: str, by: str) -> DataFrame:
     """``rows`` joined with ``wide``, whose rows may be large: those of hot keys are copied to several tasks.
 
-    ``rows`` should be settled. What is broadcast is a number for each key with more
-    than a ``HOT_SHARE``-th of the rows, so for fewer than ``HOT_SHARE`` keys, and all
+    ``rows`` should be settled. What is broadcast is a number for each hot key, and all
     copies together are as few. ``by`` deals out a hot key's rows.
     """
-    least = max(rows.count() // HOT_SHARE, HOT_ROWS)
-    hot = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / least).cast("int").alias("parts")).filter(F.col("parts") > 1)
-    hot = settle(hot, "hot-keys")
+    hot = hot_parts(rows, key)
     if not hot.take(1):
         return rows.join(wide, key)
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
-    copies = wide.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, [key, "part"]).drop("part")
+    dealt = deal(rows.join(F.broadcast(hot), key, "left"), by)
+    return dealt.join(copied(wide.join(F.broadcast(hot), key, "left")), [key, "part"]).drop("part")
+
+
+def deal(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``part``, out of as many as their column ``parts`` says, in its place."""
+    part = F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")
+    return rows.withColumn("part", part).drop("parts")
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """A copy of each row for each of its ``parts``."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
 
 def scratch_count() -> int:

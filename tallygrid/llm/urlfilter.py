@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import settle
+from tallygrid.llm.common import HOT_SHARE, copied, deal, hot_parts, join_spread, settle
 
 #: The lists of the registered query: (list, kind, pattern, action, date).
 DEFAULT_ENTRIES = [
@@ -39,6 +39,8 @@ DEFAULT_ENTRIES = [
     ("policy", "domain", "example.org", "block", "2024-11-01"),
     ("policy", "domain", "example.org", "retract", "2024-11-15"),
 ]
+#: Up to so many intervals or stretches of timelines (under 200 bytes each) are broadcast.
+BROADCAST_ROWS = 20_000
 #: Kinds by precedence, the weakest first.
 KINDS = ("domain", "host", "url")
 
@@ -70,8 +72,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def timelines(keys: DataFrame, active: DataFrame) -> DataFrame:
     """(key, begins, ends, list, action): for each key of (key, pattern, rank), the winner of each stretch of time."""
-    met = keys.join(active, (keys["pattern"] == active["pattern"]) & (keys["kind"] == active["kind"])).select("key", "rank", "action", "list", "since", "until")
-    met = settle(met, "url-met")
+    entry = F.concat_ws(" ", "kind", "pattern").alias("entry")
+    asked, listed = keys.select("key", "rank", entry), active.select(entry, "action", "list", "since", "until")
+    if active.count() <= BROADCAST_ROWS:
+        met = asked.join(F.broadcast(listed), "entry")
+    else:
+        # very many hosts share a pattern such as a top-level domain
+        met = join_spread(settle(asked, "url-asked"), listed, "entry", "key")
+    met = settle(met.drop("entry"), "url-met")
     points = met.select("key", F.col("since").alias("begins")).unionByName(met.filter(F.col("until").isNotNull()).select("key", F.col("until").alias("begins"))).distinct()
     stretch = points.withColumn("ends", F.lead("begins").over(Window.partitionBy("key").orderBy("begins")))
     over = stretch.join(met.withColumnRenamed("key", "m_key"), (F.col("key") == F.col("m_key")) & (F.col("since") <= F.col("begins")) & (F.col("until").isNull() | (F.col("until") > F.col("begins"))))
@@ -97,8 +105,17 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
 
     def asof(left: DataFrame, key: str, line: DataFrame, name: str) -> DataFrame:
         there = settle(line.select(*[F.col(c).alias(f"{name}_{c}") for c in line.columns]), f"url-{name}")
-        during = (F.col("fetched") >= F.col(f"{name}_begins")) & (F.col(f"{name}_ends").isNull() | (F.col("fetched") < F.col(f"{name}_ends")))
-        return left.join(there, (F.col(key) == F.col(f"{name}_key")) & during, "left")
+        begun = F.col("fetched") >= F.col(f"{name}_begins")
+        during = begun & (F.col(f"{name}_ends").isNull() | (F.col("fetched") < F.col(f"{name}_ends")))
+        match = (F.col(key) == F.col(f"{name}_key")) & during
+        if there.count() <= BROADCAST_ROWS:
+            return left.join(F.broadcast(there), match, "left")
+        # captures of hot hosts are dealt out and their timelines copied; those without a host meet nothing
+        hot = F.broadcast(hot_parts(left.filter(F.col(key).isNotNull()), key).withColumnRenamed(key, "hot"))
+        marked = left.join(hot, F.col(key) == F.col("hot"), "left").drop("hot")
+        marked = marked.withColumn("parts", F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.col("parts")))
+        lines = copied(there.join(hot, F.col(f"{name}_key") == F.col("hot"), "left").drop("hot")).withColumnRenamed("part", "copy")
+        return deal(marked, "id", "url", "fetched").join(lines, match & (F.col("part") == F.col("copy")), "left").drop("part", "copy")
 
     found = asof(asof(rows, "page", by_url, "u"), "host", by_host, "h")
     action = F.coalesce("u_action", "h_action")

@@ -119,6 +119,25 @@ def test_mixing_without_broadcast_and_whole_rows(spark, monkeypatch):
     assert "lang" in rows.columns and rows.columns.count("size") == 1
 
 
+def test_targets_of_many_sources_are_filled_by_ranges(spark):
+    """More sources than fit one range, against the same rule in plain Python."""
+    sizes = {None: 40} | {f"s{i:04d}": (i * i * 7919) % 1009 + 1 for i in range(3000)}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["source"]: r["target"] for r in mixing.source_targets(rows, (3, 1, 2), 1.5, 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, still, want = 1.5 * sum(sizes.values()), sum(weight.values()), {}
+    for s in sorted(order, key=lambda x: sizes[x] / weight[x]):
+        want[s] = min(2 * sizes[s], left / still * weight[s])
+        left, still = left - want[s], still - weight[s]
+    assert got.keys() == want.keys()
+    assert all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 @needs_data
 def test_mixing_comes_near_its_targets(spark):
     got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
@@ -155,3 +174,13 @@ def test_url_filter(spark):
     none = urlfilter.judge(captures, urlfilter.entries_frame(spark, []))
     assert none.filter("kept").count() == len(URLS) + 1
     assert urlfilter.judge(captures.limit(0), urlfilter.entries_frame(spark, ENTRIES)).count() == 0
+
+
+def test_url_filter_without_broadcast(spark, monkeypatch):
+    """Hot hosts, and captures without any, are dealt out over tasks."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    captures = spark.createDataFrame(URLS * 5, "page_id long, url string, at string").select("page_id", "url", F.to_timestamp("at").alias("fetched"))
+    judged = lambda: sorted(map(repr, urlfilter.judge(captures, urlfilter.entries_frame(spark, ENTRIES)).collect()))
+    want = judged()
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", 0)
+    assert judged() == want and len(want) == 5 * len(URLS)
