@@ -31,26 +31,40 @@ def id_hash(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with the sums of all rows before each one in a total order.
+
+    The rows are cut into ranges, one a task, and summed by range first, so no task
+    gets them all; what is broadcast is a row for each shuffle partition.
+    """
+    parts = settle(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    own = {c: F.sum(x).alias(c) for c, x in sums.items()}
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("part").agg(*own.values()).select("part", *[F.sum(c).over(earlier).alias(f"earlier_{c}") for c in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    total = [(F.coalesce(F.col(f"earlier_{c}"), zero) + F.coalesce(F.sum(x).over(inside), zero)).alias(c) for c, x in sums.items()]
+    return parts.join(F.broadcast(before), "part").select(*rows.columns, *total)
+
+
 def source_targets(by_source: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """Adds ``target`` to (source, source_size).
 
     Weights repeat over the sources in code point order, null last. Targets stop
     at ``most`` times the source's size and the excess goes to the others by
     weight. Filling from the source with the least room for its weight, the level
-    at the first source that is not full is everyone's level. The windows run over
-    one row a source.
+    at the first source that is not full is everyone's level.
     """
-    ranked = by_source.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weighted = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("double"))
-    capped = weighted.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    everyone = Window.partitionBy()
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everyone) * F.lit(float(share))
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    levelled = capped.withColumn("own_level", level).withColumn("full", F.col("cap") <= F.col("own_level") * F.col("weight"))
-    common = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "rank", "own_level"))).over(everyone)["own_level"]
+    ranked = running(by_source, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, "mix-ranked")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    capped = ranked.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    words, weighed = capped.agg(F.sum("source_size"), F.sum("weight")).first()
+    room = F.col("cap") / F.col("weight")
+    filled = running(capped, [room.asc(), F.col("rank").asc()], {"filled": F.col("cap"), "served": F.col("weight")}, "mix-filled")
+    level = (F.lit(float(words or 0)) * F.lit(float(share)) - F.col("filled")) / (F.lit(weighed or 0.0) - F.col("served"))
+    levelled = filled.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
+    (first,) = levelled.filter(~F.col("full")).agg(F.min(F.struct(room.alias("room"), "rank", "level"))).first()
+    common = F.lit(first["level"] if first else 0.0)
     return levelled.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(common * F.col("weight")).alias("target"))
 
 
