@@ -172,6 +172,15 @@ def enum_label(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", text.label_of(F.col("o_orderpriority"), {"1-URGENT": "Sheet 1", "2-HIGH": "Sheet 2"}).alias("label"))
 
 
+@query("select o_orderkey, l_linenumber, l_partkey, l_quantity from orders join lineitem on o_orderkey = l_orderkey")
+def nested_explode(spark, sf_dir):
+    """Orders as documents of lines, flattened again."""
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    documents = _read(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return documents.select("o_orderkey", F.inline("lines"))
+
+
 @query("select doc_id, source from documents where doc_id not in (select doc_id from labels)")
 def missing_reference(spark, sf_dir):
     """Documents without a label."""
