@@ -5,17 +5,17 @@ frequency, and two indexes hold them.
 
 The whole index has the words of every example and their beginnings of 4, 5 and 6
 bytes: no term is cut by its count, its label or its rank. The documents that hold a term are counted over all documents.
-Cosines with all examples are computed in full, by a matrix product for the most
-frequent terms and by posting lists for the rest, and a text's norm counts all its
-terms. A term that no example has isn't counted over the documents; it weighs, in
+Its terms fall in two: those in few examples are added up from posting lists for every
+example, and the ``FREQUENT`` most common ones have blocks of examples with the
+largest weight of each term. A block's best such sum and its largest weights bound its
+best cosine; the blocks with the best bounds are scored exactly, then all whose
+bound reaches the ``NEAREST``-th cosine found. A text's norm counts all its terms. A term that no example has isn't counted over the documents; it weighs, in
 norms only, as if in one document.
 
 The tied index holds byte n-grams inside words (a space marks a word's start and end):
 the ``TERMS`` of them that the labelled sample ties to a label most, by the log-likelihood ratio, of those in at least ``LEAST_EXAMPLES`` examples; its
-document frequencies are the sample's. Its postings are cut into blocks of examples:
-each term keeps the largest weight of every block, so a query bounds a block's best
-cosine by one sum; blocks are scored exactly, best bound first, until no bound can
-pass the ``NEAREST``-th cosine found. It adds voters, and isn't the text's cosine.
+document frequencies are the sample's. All its postings are cut into blocks, which are
+scored one by one, best bound first. It adds voters, and isn't the text's cosine.
 
 The nearest of both indexes vote for their labels with squared cosine, against a prior
 vote. A logistic curve fitted to the votes of the examples themselves, each left
@@ -53,8 +53,9 @@ LEAST_EXAMPLES = 3
 BLOCK = 32
 NEAREST = 15
 FILTER_BITS = 20
-#: The whole index's most frequent terms, scored by a matrix product; texts and postings scored together. Speed and memory only.
-FREQUENT, TOGETHER, ROOM = 512, 256, 1 << 20
+#: The whole index's most frequent terms, which are blocked; texts and postings scored together;
+#: blocks scored first. Speed and memory only.
+FREQUENT, TOGETHER, ROOM, FIRST_BLOCKS = 512, 256, 1 << 20, 8
 #: Bytes of the beginnings of words.
 BEGINNINGS = (4, 5, 6)
 HASHER = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +160,7 @@ class Whole:
         self._build()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "matrix")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "order", "slot", "matrix", "bounds")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -170,10 +171,17 @@ class Whole:
         top = np.sort(np.argsort(-count, kind="stable")[:FREQUENT])
         self.place = np.full(len(count), -1, np.int32)
         self.place[top] = np.arange(len(top))
-        self.matrix = np.zeros((len(top), self.rows), np.float32)
+        weight = np.zeros((len(top), self.rows), np.float32)
         for i, t in enumerate(top):
             at = slice(self.ends[t], self.ends[t + 1])
-            self.matrix[i, self.example[at]] = self.weight[at]
+            weight[i, self.example[at]] = self.weight[at]
+        # examples alike in their heaviest frequent term share a block, which keeps its bounds low
+        self.order = np.argsort(weight.argmax(0), kind="stable")
+        self.slot = np.argsort(self.order).astype(np.int32)
+        blocks = -(-self.rows // BLOCK)
+        self.matrix = np.zeros((blocks, len(top), BLOCK), np.float32)
+        self.matrix[self.slot // BLOCK, :, self.slot % BLOCK] = weight.T
+        self.bounds = self.matrix.max(2).T.copy()
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term number, weight) of the texts' terms that examples have, by text; norms are over all terms."""
@@ -193,26 +201,49 @@ class Whole:
         return row, term, (weight[by] / np.sqrt(squares)[row]).astype(np.float32)
 
     def cosines(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(first text, cosines of some texts from it on with every example)."""
+        """(first text, cosines of some texts from it on with the examples).
+
+        A cosine is 0 where the block's bound is below the text's ``NEAREST + 1``-th: one may be the text itself.
+        """
         place = self.place[term]
         many = np.where(place < 0, self.ends[term + 1] - self.ends[term], 0)
         cut = np.searchsorted(row, np.arange(rows + 1))
         load = np.concatenate(([0], np.cumsum(many)))[cut]
+        width = len(self.matrix) * BLOCK
         start = 0
         while start < rows:
             end = max(start + 1, min(start + TOGETHER, rows, int(np.searchsorted(load, load[start] + ROOM, "right")) - 1))
             k = np.arange(cut[start], cut[end])
             frequent, k = k[place[k] >= 0], k[place[k] < 0]
-            query = np.zeros((end - start, len(self.matrix)), np.float32)
+            query = np.zeros((end - start, len(self.bounds)), np.float32)
             query[row[frequent] - start, place[frequent]] = weight[frequent]
-            found = query @ self.matrix
             long = many[k]
             at = np.repeat(self.ends[term[k]] - (np.cumsum(long) - long), long) + np.arange(long.sum())
-            pair = np.repeat((row[k] - start) * self.rows, long) + self.example[at]
-            found += np.bincount(pair, np.repeat(weight[k], long) * self.weight[at], found.size).reshape(found.shape)
-            yield start, found
+            pair = np.repeat((row[k] - start) * width, long) + self.slot[self.example[at]]
+            rare = np.bincount(pair, np.repeat(weight[k], long) * self.weight[at], (end - start) * width)
+            yield start, self._blocks(query, rare.reshape(end - start, -1, BLOCK))[:, self.slot]
             start = end
 
+    def _blocks(self, query: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Cosines by slot, from the frequent terms' weights and the sums of the others."""
+        bound = query @ self.bounds + rare.max(2)
+        found, scored = np.zeros(rare.shape, np.float32), np.zeros(bound.shape, bool)
+
+        def exact(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(0)):
+                who = np.flatnonzero(wanted[:, block])
+                found[who, block] = query[who] @ self.matrix[block] + rare[who, block]
+            scored[wanted] = True
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, 1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
+        exact(first & (bound > 0))
+        flat = found.reshape(len(found), -1)
+        floor = np.partition(flat, -NEAREST - 1, 1)[:, -NEAREST - 1] if flat.shape[1] > NEAREST else np.zeros(len(flat))
+        # float32 sums in different orders differ in the last bits
+        exact((bound >= floor[:, None] - 1e-5) & (bound > 0) & ~scored)
+        return flat
+
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, besides: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(examples, cosines) of each text's nearest with a positive cosine, best first. ``besides``: the texts are the examples from that one on, none its own."""
         for start, found in self.cosines(row, term, weight, rows):

@@ -324,6 +324,27 @@ def test_block_bounds_lose_no_neighbour():
         assert np.allclose(best, cosine, atol=3e-6)
 
 
+def test_block_bounds_of_the_whole_index_lose_no_neighbour(monkeypatch):
+    """Topics with words of their own, so that whole blocks can be left out."""
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 1)
+    monkeypatch.setattr(toxicity, "FREQUENT", 60)
+    rng = random.Random(10)
+    topics = [[f"{c}{d}{e}word" for d in "aeiou" for e in "xyz"] for c in "bcdfghjklm"]
+    texts = [" ".join(rng.choice(topics[i % 10]) for _ in range(rng.randrange(1, 30))) + f" rare{i % 90}" for i in range(700)]
+    whole = toxicity.Whole(filled(pa.array(texts)))
+    asked = texts[::9] + ["", "unknown words", "baxword hizword"]
+    row, term, weight = whole.vectors(filled(pa.array(asked)))
+    every = np.zeros((len(asked), whole.rows))
+    for i, t, w in zip(row, term, weight):
+        at = slice(whole.ends[t], whole.ends[t + 1])
+        every[i, whole.example[at]] += w * whole.weight[at]
+    given = np.concatenate([found for _, found in whole.cosines(row, term, weight, len(asked))])
+    assert ((given == 0) & (every > 1e-6)).any(), "no block was left out"
+    for i, (near, cosine) in enumerate(whole.nearest(row, term, weight, len(asked))):
+        best = np.sort(every[i][every[i] > 1e-6])[::-1][: toxicity.NEAREST]
+        assert np.allclose(best, cosine, atol=3e-6) and np.allclose(every[i][near], cosine, atol=3e-6)
+
+
 def test_neighbours_are_over_all_terms(spark):
     rng = random.Random(8)
     same = "quaintly singular wording"  # in one example only, so tied to no label
