@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontamination, extraction, language, mixing, ngramjoin, quality, repetition, substrings, toxicity, urlfilter
+from tallygrid.llm import bpe, decontamination, extraction, language, mixing, ngramjoin, quality, repetition, substrings, toxicity, urlfilter
 from tallygrid.llm.common import table
 
 
@@ -56,6 +57,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, packed=True, round_trip=True)
+    n_tokens = (F.length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_extraction": op1_extraction,
     "op2_language": op2_language,
@@ -67,6 +75,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE_SQL = {

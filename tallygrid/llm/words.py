@@ -17,13 +17,13 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of all batches, in slices of about SLICE_BYTES of text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", bytes_: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in slices of about ``bytes_`` of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(lengths) // SLICE_BYTES
+        group = np.cumsum(lengths) // bytes_
         starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(starts, starts[1:]):
             yield batch.slice(a, b - a)
