@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe, decontamination, extraction, language, mixing, ngramjoin, quality, repetition, substrings, toxicity, urlfilter
+from tallygrid.llm import bpe, decontamination, extraction, language, mixing, ngramjoin, periodic, prefixtrie, quality, repetition, substrings, toxicity, urlfilter
 from tallygrid.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, packed=True, round_trip=True)
@@ -64,6 +68,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.detect(table(spark, sf_dir, "documents"), seed=F.crc32(F.col("doc_id").cast("string"))))
+
+
 QUERIES = {
     "op1_extraction": op1_extraction,
     "op2_language": op2_language,
@@ -75,7 +83,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -85,4 +95,5 @@ ORACLE_SQL = {
     "op8_substrings": substrings.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "op11_prefix_trie": prefixtrie.ORACLE,
 }
