@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,29 @@ DIGIT_TOKENS = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where it is used for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def greedy_step(scores: Column) -> Column:
     """struct(token, probability) of the best score: the first of equals, NaN never.
 
     The probability is the softmax of the best; 0 where the sum isn't a positive
     number (NaN or infinite scores, no scores). Null scores give null.
     """
-    scores = scores.cast("array<double>")
-    top = F.array_max(F.filter(scores, lambda x: ~F.isnan(x)))
     lowest = F.lit(float("-inf"))
-    token = F.when(top.isNull() | (top == lowest), F.lit(0)).otherwise(F.array_position(scores, top).cast("int") - 1)
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - F.coalesce(top, lowest)))
-    probability = F.when(F.isnan(total) | ~(total > 0), F.lit(0.0)).otherwise(1 / total)
-    return F.when(scores.isNotNull(), F.struct(token.alias("token"), probability.alias("probability")))
+
+    def picked(scores: Column, top: Column) -> Column:
+        token = F.when(top.isNull() | (top == lowest), F.lit(0)).otherwise(F.array_position(scores, top).cast("int") - 1)
+        total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - F.coalesce(top, lowest)))
+        probability = bound(total, lambda t: F.when(F.isnan(t) | ~(t > 0), F.lit(0.0)).otherwise(1 / t))
+        return F.struct(token.alias("token"), probability.alias("probability"))
+
+    def step(scores: Column) -> Column:
+        return bound(F.array_max(F.filter(scores, lambda x: ~F.isnan(x))), lambda top: picked(scores, top))
+
+    return F.when(scores.isNotNull(), bound(scores.cast("array<double>"), step))
 
 
 def digit_of(token: Column) -> Column:
@@ -139,3 +151,59 @@ def planes(rgba: Column) -> Column:
 def pixels_or(given: Column, otherwise: Column, size: int = 3 * 384 * 384) -> Column:
     """Pixels that came prepared, if they are of the right number; else the other ones."""
     return F.when(F.size(given) == size, given).otherwise(otherwise)
+
+
+def _shares(given: int, wanted: int) -> list[tuple[int, list[float]]]:
+    """For each wanted cell of a line, the first given cell that it covers and how much of it each covered one makes up."""
+    out = []
+    for i in range(wanted):
+        low, high = i * given / wanted, (i + 1) * given / wanted
+        first = int(low)
+        covered = [min(high, k + 1) - max(low, k) for k in range(first, given) if k < high]
+        out.append((first, [c / (high - low) for c in covered]))
+    return out
+
+
+def resampled(pixels: Column, width: int, height: int, size: int) -> Column:
+    """One plane of pixels, row by row, stretched or shrunk to a square of ``size``, row by row.
+
+    The kernel is this library's choice, as pages leave it to the browser: each new pixel
+    is the mean of the area it covers, first along the rows and then down. Planes of
+    another number of pixels are null.
+    """
+    def taps(given: int) -> Column:
+        pairs = [F.struct(F.lit(first).alias("first"), F.array(*map(F.lit, shares)).alias("shares")) for first, shares in _shares(given, size)]
+        return F.array(*pairs)
+
+    def mixed(values: Column, shares: Column) -> Column:
+        return F.aggregate(F.zip_with(values, shares, lambda v, s: v * s), F.lit(0.0), lambda total, x: total + x)
+
+    def across(row: Column) -> Column:
+        return F.transform(taps(width), lambda t: mixed(F.slice(row, t["first"] + 1, F.size(t["shares"])), t["shares"]))
+
+    def down(rows: Column) -> Column:
+        def line(near: Column, shares: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: mixed(F.transform(near, lambda r: F.get(r, c)), shares))
+
+        return F.flatten(F.transform(taps(height), lambda t: bound(F.slice(rows, t["first"] + 1, F.size(t["shares"])), lambda near: line(near, t["shares"]))))
+
+    def whole(plane: Column) -> Column:
+        lines = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: bound(F.slice(plane, r * width + 1, F.lit(width)), across))
+        return F.when(F.size(plane) == width * height, bound(lines, down))
+
+    return bound(pixels.cast("array<double>"), whole)
+
+
+def over_white(rgba: Column, channel: int) -> Column:
+    """One plane (0 red, 1 green, 2 blue) of interleaved RGBA bytes as it looks on white."""
+    def plane(rgba: Column) -> Column:
+        at = lambda i, c: F.get(rgba, i * 4 + c).cast("double")
+        pixel = F.sequence(F.lit(0), F.floor(F.size(rgba) / 4).cast("int") - 1)
+        return F.when(F.size(rgba) >= 4, F.transform(pixel, lambda i: 255 + (at(i, channel) - 255) * at(i, 3) / 255)).otherwise(F.array().cast("array<double>"))
+
+    return bound(rgba, plane)
+
+
+def prepared_picture(rgba: Column, width: int, height: int, size: int = 384) -> Column:
+    """A picture as a model takes it: on a white square of ``size``, red, green and blue planes, from -1 to 1."""
+    return affine_pixels(F.concat(*[resampled(over_white(rgba, c), width, height, size) for c in range(3)]))

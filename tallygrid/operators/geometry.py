@@ -5,6 +5,8 @@ A box's (x, y) is its bottom right corner; a region's is its top left.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,96 @@ def seen_at(x: Column, y: Column, page: tuple[float, float, float, float], corne
         return (a[of] + (b[of] - a[of] + g * b[of]) * u + (d[of] - a[of] + h * d[of]) * v) / depth
 
     return place("x"), place("y")
+
+
+#: Grids of cells of size 2 ** -level: regions of a page's size go to the first, small ones to finer ones.
+LEVELS = range(-1, 12)
+
+
+def _cells(value: Column, level: Column) -> Column:
+    return F.floor(value * F.pow(F.lit(2.0), level)).cast("long")
+
+
+def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = (), tolerance: float = 0.002) -> DataFrame:
+    """All pairs of a row of ``boxes`` and a row of ``regions`` that holds it: a range join through cells.
+
+    Both have x, y, width and height; boxes by their bottom right, regions by their top
+    left corner. ``keys`` are columns that must be equal (such as a layout), none are
+    needed. Columns of the regions are named with ``region_`` before them.
+
+    A region, with its tolerance, goes to the grid whose cells are as large as it, so it
+    touches four cells at most; a box's corner has one cell in each grid, so no pair
+    comes twice. Boxes or regions with a null or NaN number are in no pair; a region of
+    negative size holds nothing.
+    """
+    sides = [F.col(c).cast("double") for c in ("width", "height")]
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in ("x", "y", "width", "height")])
+    span = F.greatest(*sides) + 2 * tolerance
+    level = F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[-1]), F.floor(-F.log2(span)).cast("int")))
+    named = regions.filter(whole & (F.least(*sides) >= 0)).withColumn("_level", F.when(span > 0, level).otherwise(F.lit(LEVELS[-1])))
+
+    def touched(low: Column, size: Column) -> Column:
+        first, last = _cells(low - tolerance, F.col("_level")), _cells(low + size + tolerance, F.col("_level"))
+        return F.explode(F.sequence(first, last))
+
+    named = named.withColumn("_across", touched(F.col("x"), F.col("width"))).withColumn("_down", touched(F.col("y"), F.col("height")))
+    renamed = named.select(*[F.col(c).alias(c if c in keys or c.startswith("_") else f"region_{c}") for c in named.columns])
+    corners = boxes.filter(whole).withColumn("_level", F.explode(F.array(*map(F.lit, LEVELS))))
+    corners = corners.withColumn("_across", _cells(F.col("x"), F.col("_level"))).withColumn("_down", _cells(F.col("y"), F.col("_level")))
+    near = corners.join(renamed, [*keys, "_level", "_across", "_down"]).drop("_level", "_across", "_down")
+    box = {c: F.col(c) for c in ("x", "y", "width", "height")}
+    return near.filter(box_in_region(box, {c: F.col(f"region_{c}") for c in box}, tolerance))
+
+
+def homography(corners: Column) -> Column:
+    """The nine numbers, row by row, of the map from the unit square to four corners (top left, top right, bottom right, bottom left).
+
+    Null where no such map can be turned round: a corner or number is missing, or three
+    corners lie on one line.
+    """
+    a, b, c, d = (F.get(corners, F.lit(i)) for i in range(4))
+
+    def doubled(p: Column, q: Column, r: Column) -> Column:
+        """Twice the area of a triangle, signed."""
+        return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (r["x"] - p["x"]) * (q["y"] - p["y"])
+
+    extent = F.greatest(*[F.abs(p[k] - a[k]) for p in (b, c, d) for k in ("x", "y")])
+    flat = [F.abs(doubled(*three)) <= 1e-9 * extent * extent for three in ((a, b, c), (b, c, d), (c, d, a), (d, a, b))]
+    across = (b["x"] - c["x"]) * (d["y"] - c["y"]) - (d["x"] - c["x"]) * (b["y"] - c["y"])
+    x3, y3 = a["x"] - b["x"] + c["x"] - d["x"], a["y"] - b["y"] + c["y"] - d["y"]
+    g = (x3 * (d["y"] - c["y"]) - (d["x"] - c["x"]) * y3) / across
+    h = ((b["x"] - c["x"]) * y3 - x3 * (b["y"] - c["y"])) / across
+    rows = [[b[k] - a[k] + g * b[k], d[k] - a[k] + h * d[k], a[k]] for k in ("x", "y")]
+    return F.when(F.size(corners) == 4, F.when(~reduce(Column.__or__, flat), F.array(*rows[0], *rows[1], g, h, F.lit(1.0))))
+
+
+def inverse3(m: Column) -> Column:
+    """The inverse of a 3x3 matrix of nine numbers, row by row; null if its determinant is zero."""
+    at = lambda r, c: F.get(m, F.lit(3 * r + c))
+
+    def minor(r: int, c: int) -> Column:
+        (r1, r2), (c1, c2) = [[i for i in range(3) if i != k] for k in (r, c)]
+        return (at(r1, c1) * at(r2, c2) - at(r1, c2) * at(r2, c1)) * (-1) ** (r + c)
+
+    whole = at(0, 0) * minor(0, 0) + at(0, 1) * minor(0, 1) + at(0, 2) * minor(0, 2)
+    return F.when(whole != 0, F.array(*[minor(c, r) / whole for r in range(3) for c in range(3)]))
+
+
+def mapped(m: Column, x: Column, y: Column) -> Column:
+    """struct(x, y) of a point under a projective map; null where the map is, or sends the point to no place."""
+    at = lambda i: F.get(m, F.lit(i))
+    depth = at(6) * x + at(7) * y + at(8)
+    return F.when(depth != 0, F.struct(((at(0) * x + at(1) * y + at(2)) / depth).alias("x"), ((at(3) * x + at(4) * y + at(5)) / depth).alias("y")))
+
+
+def rectified(rows: DataFrame, x: str, y: str, page: tuple[float, float, float, float], corners: str, out: str = "page_point") -> DataFrame:
+    """``rows`` with ``out``, struct(x, y): where on the page a photo's point (x, y) stands; the inverse of ``seen_at``.
+
+    ``page`` and ``corners`` are as there; ``corners`` that no page can show give null. The
+    matrices are columns of their own, so that they are computed once a row.
+    """
+    left, top, right, bottom = page
+    solved = rows.withColumn("_there", homography(F.col(corners))).withColumn("_back", inverse3(F.col("_there")))
+    solved = solved.withColumn("_unit", mapped(F.col("_back"), F.col(x).cast("double"), F.col(y).cast("double")))
+    place = F.struct((F.col("_unit.x") * (right - left) + left).alias("x"), (F.col("_unit.y") * (bottom - top) + top).alias("y"))
+    return solved.withColumn(out, F.when(F.col("_unit").isNotNull(), place)).drop("_there", "_back", "_unit")

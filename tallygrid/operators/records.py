@@ -34,7 +34,10 @@ def rejection(name: Column, photo_selected: Column) -> Column:
 
 
 def append(records: DataFrame, captures: DataFrame) -> DataFrame:
-    """The records with all acceptable captures (name, worksheet, photo, device, at) added."""
+    """The records with all acceptable captures (name, worksheet, photo, device, at) added.
+
+    Captures may have ``device_id``, the device whose store they go to; records keep it.
+    """
     good = captures.filter(rejection(F.col("name"), F.col("photo.selected")).isNull())
     added = good.select(
         F.concat(F.lit("legacy-"), F.unix_millis(F.col("at").cast("timestamp")).cast("string")).alias("id"),
@@ -44,6 +47,7 @@ def append(records: DataFrame, captures: DataFrame) -> DataFrame:
         label_of(F.col("worksheet"), WORKSHEETS).alias("worksheetLabel"),
         "photo",
         "device",
+        *(["device_id"] if "device_id" in captures.columns else []),
     )
     return records.unionByName(added, allowMissingColumns=True)
 
@@ -58,27 +62,53 @@ def cleared(records: DataFrame) -> DataFrame:
     return records.limit(0)
 
 
-def write(records: DataFrame, path: str) -> None:
-    """Replaces what is stored; write to another folder than the records were read from."""
-    records.write.mode("overwrite").parquet(path)
+#: What a store's user can do.
+APPEND, DELETE, CLEAR = "append", "delete", "clear"
+
+
+def replayed(actions: DataFrame, device: str = "device_id", order: str = "seq") -> DataFrame:
+    """(device, place, seq): which appends each device's store still has after all actions, and where, from 0.
+
+    ``actions`` have ``kind`` (append, delete or clear), ``position`` (what a delete takes
+    out of the list as it then stands) and an ``order`` that is unique for the device.
+    A position that the list doesn't have, or a null one, takes nothing out; other kinds
+    do nothing. What came before a device's last clear is left out before anything is
+    gathered, and of the rest only numbers are: join the appended records by ``seq``.
+    A group is what one device's user did since; actions without device or order are left out.
+    """
+    given = actions.filter(F.col(device).isNotNull() & F.col(order).isNotNull()).select(F.col(device).alias("_device"), F.col(order).alias("_seq"), "kind", F.col("position").cast("int").alias("position"))
+    cleared = given.filter(F.col("kind") == CLEAR).groupBy("_device").agg(F.max("_seq").alias("_clear"))
+    since = given.filter(F.col("kind").isin(APPEND, DELETE)).join(cleared, "_device", "left").filter(F.col("_clear").isNull() | (F.col("_seq") > F.col("_clear")))
+    done = since.groupBy("_device").agg(F.array_sort(F.collect_list(F.struct("_seq", "kind", "position"))).alias("done"))
+    kind = actions.schema[order].dataType.simpleString()
+
+    def step(kept: Column, action: Column) -> Column:
+        at = action["position"]
+        there = (action["kind"] == DELETE) & (at >= 0) & (at < F.size(kept))
+        less = F.concat(F.slice(kept, F.lit(1), at), F.slice(kept, at + 2, F.size(kept)))
+        return F.when(action["kind"] == APPEND, F.array_append(kept, action["_seq"])).when(there, less).otherwise(kept)
+
+    left = done.select("_device", F.aggregate("done", F.array().cast(f"array<{kind}>"), step).alias("left"))
+    return left.select(F.col("_device").alias(device), F.posexplode("left").alias("place", order))
 
 
 NO_RECORDS = "No saved records yet."
 
 
-def cards(records: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """(place, name, worksheet, photo, saved): what each record's card shows, escaped, with defaults.
+def cards(records: DataFrame, group: list[str], order: list[str] | None = None) -> DataFrame:
+    """(group, place, name, worksheet, photo, saved): what each record's card shows, escaped, with defaults.
 
-    ``place`` counts from 0 in ``order`` (by time of saving, then id), which is that of
-    appending; it is what a record is deleted by.
+    ``group`` is whose store it is: a device shows its own records. ``place`` counts from
+    0 in ``order`` (by time of saving, then id), which is that of appending; it is what a
+    record is deleted by.
     """
     def shown(value: Column, default: str = "") -> Column:
         return escape_html(F.coalesce(F.nullif(value, F.lit("")), F.lit(default)))
 
     photo = F.concat(shown(F.col("photo.name"), "selected image"), F.lit(" ("), human_bytes(F.col("photo.size")), F.lit(")"))
-    place = F.row_number().over(Window.orderBy(*(order or ["savedAt", "id"]))) - 1
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*(order or ["savedAt", "id"]))) - 1
     return records.select(
-        place.alias("place"), shown(F.col("studentName"), "Unnamed student").alias("name"), shown(F.col("worksheetLabel")).alias("worksheet"),
+        *group, place.alias("place"), shown(F.col("studentName"), "Unnamed student").alias("name"), shown(F.col("worksheetLabel")).alias("worksheet"),
         photo.alias("photo"), shown(F.col("savedAt")).alias("saved"),
     )
 

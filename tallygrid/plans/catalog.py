@@ -269,4 +269,4 @@ def variant_fields(spark, sf_dir):
     return integrity.differing_fields(a, b, "p_partkey").select("p_partkey", F.array_join("fields", ",").alias("fields"))
 
 
-from tallygrid.plans import sheets  # noqa: E402, F401 (registers its queries here)
+from tallygrid.plans import documents, pages, sheets, stores  # noqa: E402, F401 (register their queries here)

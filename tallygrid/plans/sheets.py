@@ -219,13 +219,13 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _read(spark, sf_dir, "events")
     photo = F.struct((F.col("event_id") % 3 != 0).alias("selected"), F.lit("").alias("name"), F.lit("").alias("type"), F.col("event_id").alias("size"), F.lit(True).alias("preview"), F.lit("").alias("error"))
     sheet = F.when(F.col("event_id") % 2 == 0, F.lit("sheet-c-mixed")).otherwise(F.lit("other"))
-    given = events.select(F.concat(F.lit(" "), "event_type").alias("name"), sheet.alias("worksheet"), photo.alias("photo"), F.lit(None).cast(records.DEVICE).alias("device"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp").alias("at"))
-    none = spark.createDataFrame([], records.RECORD.removeprefix("struct<").removesuffix(">"))
+    given = events.select(F.concat(F.lit(" "), "event_type").alias("name"), sheet.alias("worksheet"), photo.alias("photo"), F.lit(None).cast(records.DEVICE).alias("device"), F.col("user_id").alias("device_id"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp").alias("at"))
+    none = spark.createDataFrame([], "device_id long, " + records.RECORD.removeprefix("struct<").removesuffix(">"))
     return records.append(none, given)
 
 
 _SAVED = """select 'legacy-' || (epoch_us(ts) // 1000) as id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::varchar, 3, '0') || 'Z' as saved, event_type as name,
-       case when event_id % 2 = 0 then 'Sheet C - Mixed Within 50' else 'other' end as worksheet, event_id as size from events where event_id % 3 <> 0"""
+       case when event_id % 2 = 0 then 'Sheet C - Mixed Within 50' else 'other' end as worksheet, event_id as size, user_id as device_id from events where event_id % 3 <> 0"""
 
 
 @query(f"select id, saved, name, worksheet, size from ({_SAVED})")
@@ -238,28 +238,34 @@ def saved_captures(spark, sf_dir):
 _SIZE = "case when size < 1024 then size || ' B' when size < 1048576 then floor(size / 1024 + 0.5)::bigint || ' KB' else printf('%.1f MB', floor(size / 1048576 * 10 + 0.5) / 10) end"
 
 
-@query(f"select name, worksheet, 'selected image (' || {_SIZE} || ')' as photo, saved from ({_SAVED})")
+_PLACE = "row_number() over (partition by device_id order by saved, id)::int - 1"
+
+
+@query(f"select device_id, {_PLACE} as place, name, worksheet, 'selected image (' || {_SIZE} || ')' as photo, saved from ({_SAVED})")
 def capture_cards(spark, sf_dir):
-    return records.cards(_captures(spark, sf_dir)).drop("place")
+    """Each device's own cards."""
+    return records.cards(_captures(spark, sf_dir), ["device_id"])
 
 
-@query(f"select count(*)::int as cards, max(saved) as last, 'No saved records yet.' as otherwise from ({_SAVED})")
+@query(f"select device_id, count(*)::int as cards, max(saved) as last, 'No saved records yet.' as otherwise from ({_SAVED}) group by device_id")
 def card_order(spark, sf_dir):
-    """The last card is the record saved last; without records there is a message."""
+    """A device's last card is the record that it saved last; without records there is a message."""
     saved = _captures(spark, sf_dir)
-    last = records.cards(saved).agg((F.max("place") + 1).alias("cards"), F.max_by("saved", "place").alias("last"))
-    return last.join(records.headline(records.cleared(saved)).select(F.col("message").alias("otherwise")), F.lit(True))
+    last = records.cards(saved, ["device_id"]).groupBy("device_id").agg((F.max("place") + 1).alias("cards"), F.max_by("saved", "place").alias("last"))
+    return last.join(F.broadcast(records.headline(records.cleared(saved)).select(F.col("message").alias("otherwise"))), F.lit(True))
 
 
-@query(f"select worksheet, '2024-01-01T00:00:00.000Z' as generated, 'p' as page, 2.0::double as ratio, count(*)::int as records, min(saved) as first from ({_SAVED}) group by worksheet")
+@query(f"""
+select device_id, '2024-01-01T00:00:00.000Z' as generated, 'p' as page, 2.0::double as ratio, count(*)::int as records, min(saved) as first, max(saved) as last from ({_SAVED}) group by device_id""")
 def capture_report(spark, sf_dir):
+    """The report of each device."""
     device = F.from_json(F.lit('{"devicePixelRatio": 2}'), records.DEVICE)
-    report = records.report(_captures(spark, sf_dir), ["worksheetLabel"], F.lit("p"), device, at=F.timestamp_seconds(F.lit(1704067200)))
+    report = records.report(_captures(spark, sf_dir), ["device_id"], F.lit("p"), device, at=F.timestamp_seconds(F.lit(1704067200)))
     field = lambda path: F.get_json_object("report", path)
     listed = F.from_json(field("$.records"), "array<struct<savedAt: string>>")
     return report.select(
-        F.col("worksheetLabel").alias("worksheet"), field("$.generatedAt").alias("generated"), field("$.page").alias("page"),
-        field("$.device.devicePixelRatio").cast("double").alias("ratio"), F.size(listed).alias("records"), F.get(listed, F.lit(0))["savedAt"].alias("first"),
+        "device_id", field("$.generatedAt").alias("generated"), field("$.page").alias("page"), field("$.device.devicePixelRatio").cast("double").alias("ratio"),
+        F.size(listed).alias("records"), F.get(listed, F.lit(0))["savedAt"].alias("first"), F.element_at(listed, -1)["savedAt"].alias("last"),
     )
 
 

@@ -36,5 +36,5 @@ def test_trim_keeps_what_no_script_trims(spark):
 
 def test_no_records(spark):
     none = spark.createDataFrame([], records.RECORD.removeprefix("struct<").removesuffix(">"))
-    assert records.cards(none).count() == 0 and records.headline(none).first()["message"] == records.NO_RECORDS
+    assert records.cards(none, ["worksheet"]).count() == 0 and records.headline(none).first()["message"] == records.NO_RECORDS
     assert records.cleared(none).count() == 0
