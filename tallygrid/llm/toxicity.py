@@ -1,32 +1,31 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are unit vectors of term frequency (logarithmic) times inverse document
-frequency, and two indexes hold them.
-
-The whole index has the words of every example and their beginnings of 4, 5 and 6
-bytes: no term is cut by its count, its label or its rank. The documents that hold a term are counted over all documents.
-Its terms fall in two: those in few examples are added up from posting lists for every
+frequency times the term's label weight, and one block-max index holds them. Terms are
+the words of every example and their beginnings of 4, 5 and 6 bytes; none is cut by its
+count, its label or its rank. The documents that hold a term are counted over all
+documents. The label weight is log(1 + r), with r the log-likelihood ratio between the
+term and the labels of the examples: terms that come with one label count for more, and
+all others still count. So vectors are label-weighted TF-IDF, and their cosine is exact.
+A term that no example has carries no label, so it has no weight.
+
+The terms fall in two: those in few examples are added up from posting lists for every
 example, and the ``FREQUENT`` most common ones have blocks of examples with the
 largest weight of each term. A block's best such sum and its largest weights bound its
 best cosine; the blocks with the best bounds are scored exactly, then all whose
-bound reaches the ``NEAREST``-th cosine found. A text's norm counts all its terms. A term that no example has isn't counted over the documents; it weighs, in
-norms only, as if in one document.
-
-The tied index holds byte n-grams inside words (a space marks a word's start and end):
-the ``TERMS`` of them that the labelled sample ties to a label most, by the log-likelihood ratio, of those in at least ``LEAST_EXAMPLES`` examples; its
-document frequencies are the sample's. All its postings are cut into blocks, which are
-scored one by one, best bound first. It adds voters, and isn't the text's cosine.
+bound reaches the ``NEAREST``-th cosine found.
 
-The nearest of both indexes vote for their labels with squared cosine, against a prior
-vote. A logistic curve fitted to the votes of the examples themselves, each left
-out of its own searches, makes the vote a probability; the examples found are the
-evidence, those of the tied index first.
+The nearest vote for their labels with squared cosine, against a prior vote. As the
+label weights know the examples' labels, the logistic curve that makes the vote a
+probability is fitted to votes on examples that the weights and the index don't know:
+the examples fall in ``FOLDS`` parts by turns, and each part is scored by an index of
+the others. The examples found are the evidence.
 
 The driver gets at most about ``sample`` labelled texts per label, chosen by a hash
 of the id, and one count for each of their terms.
 
-Defined results: a text without terms of an index, empty and null ones included, has
-no neighbours there, and without any gets the curve's score for the prior; each row
+Defined results: a text without terms of the index, empty and null ones included, has
+no neighbours and gets the curve's score for the prior; each row
 gives one row, repeated rows equal ones; ties in cosine go to the smaller id; rows without label
 or with a null id are not learnt from; with one label missing every score is the
 share of toxic labels (0 without labels); an empty table gives an empty result;
@@ -47,46 +46,23 @@ from tallygrid.llm.common import remainder
 from tallygrid.llm.quality import labelled
 from tallygrid.llm.words import Runs, filled, mixed, raw_bytes, slices
 
-ORDERS = (4, 5, 6, 8)
-TERMS = 1024
-LEAST_EXAMPLES = 3
 BLOCK = 32
 NEAREST = 15
-FILTER_BITS = 20
-#: The whole index's most frequent terms, which are blocked; texts and postings scored together;
+#: Texts whose terms weigh nothing have zeros for vectors.
+TINY = 1e-12
+#: Parts of the examples whose votes fit the curve, each by an index of the others.
+FOLDS = 3
+#: The index's most frequent terms, which are blocked; texts and postings scored together;
 #: blocks scored first. Speed and memory only.
 FREQUENT, TOGETHER, ROOM, FIRST_BLOCKS = 512, 256, 1 << 20, 8
 #: Bytes of the beginnings of words.
 BEGINNINGS = (4, 5, 6)
-HASHER = np.uint64(0x9E3779B97F4A7C15)
 
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[:48], _FOLDED[58:97], _FOLDED[123:128] = 32, 32, 32
 _FOLDED[65:91] = np.arange(97, 123)
 
 
-def terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, (term, index of the text): n-grams without a break inside, as exact 64-bit codes."""
-    end, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
-    data, at = raw_bytes(pc.binary_join_element_wise(end, pc.utf8_lower(texts), end, space))
-    data = _FOLDED[data]
-    own = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at))
-    # breaks before a place tell how many lie inside a run
-    breaks = np.concatenate((np.zeros(1, np.int32), np.cumsum(data == 32, dtype=np.int32)))
-    wide = data.astype(np.uint64)
-    code, reach = wide, 1
-    for n in ORDERS:
-        count = len(data) - n + 1
-        if count <= 0:
-            return
-        while reach < n:
-            code = code[:count] if reach == n - 1 else code[: len(data) - reach]
-            code = code | (wide[reach : reach + len(code)] << np.uint64(8 * reach))
-            reach += 1
-        good = breaks[n - 1 : n - 1 + count] == breaks[1 : 1 + count]
-        yield code[:count][good], own[:count][good]
-
-
 def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """The texts in slices, each with the index of its first."""
     start = 0
@@ -129,28 +105,42 @@ def numbers(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(codes[at] == wanted, at, -1)
 
 
+def ties(positive: np.ndarray, count: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio between each term and the labels, from how many examples (and positive ones) have it."""
+    rows, good = len(labels), labels.sum()
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+
+    cells = (
+        (positive, count * good / rows), (count - positive, count * (rows - good) / rows),
+        (good - positive, (rows - count) * good / rows), (rows - good - count + positive, (rows - count) * (rows - good) / rows),
+    )
+    return np.maximum(sum(part(seen, expected) for seen, expected in cells), 0)
+
+
 class Whole:
     """The index of all terms of the examples, which stand by id."""
 
-    def __init__(self, texts: pa.Array, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None):
+    def __init__(self, texts: pa.Array, labels: np.ndarray, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None):
         self.rows = len(texts)
         self.codes = np.zeros(0, np.uint64)
         for *_, code in frequencies(texts):
             self.codes = np.union1d(self.codes, code)
-        count = np.zeros(len(self.codes), np.int64)
+        count, positive = np.zeros(len(self.codes), np.int64), np.zeros(len(self.codes))
         parts, squares = [], np.zeros(self.rows)
         for row, at, n, code in frequencies(texts):
             term = numbers(self.codes, code)[at].astype(np.int32)
             count += np.bincount(term, minlength=len(count))
+            positive += np.bincount(term, labels[row], len(count))
             parts.append((row.astype(np.int32), term, (1 + np.log(n)).astype(np.float32)))
         df, total = frequency(self.codes) if frequency else (count, self.rows)
-        self.idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-        self.rare = np.float32(np.log((1 + total) / 2) + 1)
+        self.scale = ((np.log((1 + total) / (1 + df)) + 1) * np.log1p(ties(positive, count, labels))).astype(np.float32)
         for row, term, weight in parts:
-            weight *= self.idf[term]
+            weight *= self.scale[term]
             squares += np.bincount(row, weight.astype(float) ** 2, self.rows)
         for row, _, weight in parts:
-            weight /= np.sqrt(squares)[row]
+            weight /= np.sqrt(np.maximum(squares, TINY))[row]
         term = np.concatenate([x[1] for x in parts])
         by = np.argsort(term, kind="stable").astype(np.int32)
         del term
@@ -184,26 +174,26 @@ class Whole:
         self.bounds = self.matrix.max(2).T.copy()
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term number, weight) of the texts' terms that examples have, by text; norms are over all terms."""
+        """(text, term number, weight) of the texts' terms that examples have, by text."""
         found, squares = [], np.zeros(len(texts))
         for row, at, n, code in frequencies(texts):
             number = numbers(self.codes, code)
-            idf = np.where(number >= 0, self.idf[number], self.rare)
-            weight = (1 + np.log(n)) * idf[at]
-            squares += np.bincount(row, weight**2, len(texts))
             known = number[at] >= 0
-            found.append((row[known], number[at[known]], weight[known]))
+            row, term = row[known], number[at[known]]
+            weight = (1 + np.log(n[known])) * self.scale[term]
+            squares += np.bincount(row, weight**2, len(texts))
+            found.append((row, term, weight))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         row, term, weight = (np.concatenate(x) for x in zip(*found))
         by = np.argsort(row.astype(np.uint16) if len(texts) < 1 << 16 else row, kind="stable")
         row, term = row[by], term[by]
-        return row, term, (weight[by] / np.sqrt(squares)[row]).astype(np.float32)
+        return row, term, (weight[by] / np.sqrt(np.maximum(squares, TINY))[row]).astype(np.float32)
 
     def cosines(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray]]:
         """(first text, cosines of some texts from it on with the examples).
 
-        A cosine is 0 where the block's bound is below the text's ``NEAREST + 1``-th: one may be the text itself.
+        A cosine is 0 where the block's bound is below the text's ``NEAREST``-th.
         """
         place = self.place[term]
         many = np.where(place < 0, self.ends[term + 1] - self.ends[term], 0)
@@ -239,156 +229,63 @@ class Whole:
         np.put_along_axis(first, np.argsort(-bound, 1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
         exact(first & (bound > 0))
         flat = found.reshape(len(found), -1)
-        floor = np.partition(flat, -NEAREST - 1, 1)[:, -NEAREST - 1] if flat.shape[1] > NEAREST else np.zeros(len(flat))
+        floor = np.partition(flat, -NEAREST, 1)[:, -NEAREST] if flat.shape[1] > NEAREST else np.zeros(len(flat))
         # float32 sums in different orders differ in the last bits
         exact((bound >= floor[:, None] - 1e-5) & (bound > 0) & ~scored)
         return flat
 
-    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, besides: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(examples, cosines) of each text's nearest with a positive cosine, best first. ``besides``: the texts are the examples from that one on, none its own."""
-        for start, found in self.cosines(row, term, weight, rows):
+    def nearest(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of each text's nearest with a positive cosine, best first."""
+        row, term, weight = self.vectors(texts)
+        for _, found in self.cosines(row, term, weight, len(texts)):
             found = np.round(found, 6)
-            if besides >= 0:
-                found[np.arange(len(found)), besides + start + np.arange(len(found))] = 0
             least = np.partition(found, -NEAREST, 1)[:, -NEAREST] if self.rows > NEAREST else np.zeros(len(found))
             for one, floor in zip(found, least):
                 use = np.flatnonzero((one >= floor) & (one > 0))
                 best = use[np.lexsort((use, -one[use]))[:NEAREST]]
                 yield best, one[best]
 
-    def leave_out(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The nearest of the examples' texts, each besides itself; few at a time, as this runs on the driver."""
-        for start in range(0, len(texts), 64):
-            part = texts.slice(start, 64)
-            row, term, weight = self.vectors(part)
-            yield from self.nearest(row, term, weight, len(part), start)
-
-
-class Lookup:
-    """From term codes to numbers: a bit table first, then an exact search."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.sort(codes)
-        self.may = np.zeros(1 << FILTER_BITS, bool)
-        self.may[self._slot(self.codes)] = True
-
-    @staticmethod
-    def _slot(codes: np.ndarray) -> np.ndarray:
-        return (codes * HASHER) >> np.uint64(64 - FILTER_BITS)
-
-    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term number, frequency), by text and term."""
-        found, width = [np.zeros(0, np.int64)], max(len(self.codes), 1)
-        for start, part in _parts(texts):
-            for code, own in terms(part):
-                hit = self.may[self._slot(code)]
-                code, own = code[hit], own[hit]
-                if not len(code):
-                    continue
-                at = np.minimum(np.searchsorted(self.codes, code), width - 1)
-                same = self.codes[at] == code
-                found.append((own[same].astype(np.int64) + start) * width + at[same])
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
-        return keys // width, keys % width, n
-
 
 class Neighbours:
-    """The block-max index of the examples in the tied terms, the whole index, and the calibrated vote."""
-
-    def __init__(self, codes: np.ndarray, texts: pa.Array, ids: np.ndarray, labels: np.ndarray, prior: float, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None):
-        self.all_ids, self.all_labels, self.whole = ids, labels.astype(float), Whole(texts, frequency)
-        self.prior, self.lookup, rows = prior, Lookup(codes), len(ids)
-        row, term, n = self.lookup.counts(texts)
-        self.idf = np.log((1 + rows) / (1 + np.bincount(term, minlength=len(self.lookup.codes)))) + 1
-        weight = self._unit(row, term, n, rows)
-        # examples alike in label and heaviest term share a block, which keeps its bounds low;
-        # examples without terms are nobody's neighbours and only take part in the calibration
-        heaviest = np.full(rows, -1)
-        by = np.argsort(weight, kind="stable")
-        heaviest[row[by]] = term[by]
-        order = np.lexsort((ids, heaviest, labels))
-        order = order[heaviest[order] >= 0]
-        place = np.full(rows, -1)
-        place[order] = np.arange(len(order))
-        self.ids, self.labels = ids[order], labels[order].astype(float)
-        by = np.lexsort((term, place[row]))
-        self.postings = place[row][by], term[by], weight[by]
-        self._build()
-        voters = [(np.zeros(0), np.zeros(0))] * rows
-        for i, (near, cosine) in zip(order, self._leave_out()):
-            voters[i] = self.labels[near], cosine
-        far = self.whole.leave_out(texts)
-        votes = np.array([self.vote(np.append(y, self.all_labels[near]), np.append(c, cosine)) for (y, c), (near, cosine) in zip(voters, far)])
-        self.curve = _curve(votes, self.all_labels, prior)
-
-    def __getstate__(self):
-        """The dense form is built again where it is used: what travels is the postings."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "bounds")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._build()
-
-    def _build(self) -> None:
-        row, term, weight = self.postings
-        self.dense = np.zeros((-(-len(self.ids) // BLOCK), len(self.lookup.codes), BLOCK), np.float32)
-        self.dense[row // BLOCK, term, row % BLOCK] = weight
-        self.bounds = self.dense.max(2).T.copy()
-
-    def _unit(self, row: np.ndarray, term: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
-        weight = (1 + np.log(n)) * self.idf[term]
-        norm = np.sqrt(np.bincount(row, weight**2, rows))
-        return (weight / norm[row]).astype(np.float32)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, besides: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the nearest with a positive cosine, best first."""
-        bound = weight @ self.bounds[term]
-        best, value = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for block in np.argsort(-bound, kind="stable"):
-            # float32 sums in different orders differ in the last bits
-            if bound[block] <= 0 or len(value) == NEAREST and bound[block] < value[-1] - 1e-5:
-                break
-            cosine = np.round(weight @ self.dense[block][term], 6)
-            if block == besides // BLOCK:
-                cosine[besides % BLOCK] = 0
-            use = np.flatnonzero(cosine > (value[-1] - 1e-5 if len(value) == NEAREST else 0))
-            if len(use):
-                best, value = np.concatenate((best, use + block * BLOCK)), np.concatenate((value, cosine[use]))
-                top = np.lexsort((self.ids[best], -value))[:NEAREST]
-                best, value = best[top], value[top]
-        return best, value
+    """The examples' index, by id, and the calibrated vote."""
+
+    def __init__(self, texts: pa.Array, ids: np.ndarray, labels: np.ndarray, prior: float, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None):
+        self.ids, self.labels, self.prior = ids, labels.astype(float), prior
+        if frequency:  # counted once, for the whole index and those of the folds
+            codes = np.zeros(0, np.uint64)
+            for *_, code in frequencies(texts):
+                codes = np.union1d(codes, code)
+            frequency = _among(codes, frequency(codes))
+        self.whole, votes = Whole(texts, self.labels, frequency), np.zeros(len(ids))
+        for fold in range(min(FOLDS, len(ids))):
+            own = np.arange(len(ids)) % FOLDS == fold
+            if len(set(self.labels[~own].tolist())) < 2:
+                votes[own] = prior
+                continue
+            others = Whole(texts.filter(pa.array(~own)), self.labels[~own], frequency)
+            near = others.nearest(texts.filter(pa.array(own)))
+            votes[own] = [self.vote(self.labels[~own][at], cosine) for at, cosine in near]
+        self.curve = _curve(votes, self.labels, prior)
 
     def vote(self, labels: np.ndarray, cosine: np.ndarray) -> float:
         weight = cosine.astype(float) ** 2
         return float((weight @ labels + 0.1 * self.prior) / (weight.sum() + 0.1))
 
-    def _leave_out(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        row, term, weight = self.postings
-        cut = np.searchsorted(row, np.arange(len(self.ids) + 1))
-        for i in range(len(self.ids)):
-            yield self.nearest(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], i)
-
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
-        """(scores, evidence) of the texts; evidence is (id, label, cosine, terms) of the examples that voted."""
-        evidence: list[list[dict]] = [[] for _ in range(len(texts))]
-
-        def heard(i: int, kind: str, ids: np.ndarray, labels: np.ndarray, cosine: np.ndarray) -> None:
-            evidence[i] += [{"id": d, "label": int(y), "cosine": float(c), "terms": kind} for d, y, c in zip(ids.tolist(), labels, cosine)]
-
-        row, term, n = self.lookup.counts(texts)
-        weight = self._unit(row, term, n, len(texts))
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
-        for i in np.flatnonzero(np.diff(cut)):
-            near, cosine = self.nearest(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
-            heard(i, "tied", self.ids[near], self.labels[near], cosine)
-        row, term, whole = self.whole.vectors(texts)
-        for i, (near, cosine) in enumerate(self.whole.nearest(row, term, whole, len(texts))):
-            heard(i, "all", self.all_ids[near], self.all_labels[near], cosine)
-        votes = np.array([self.vote(np.array([e["label"] for e in x]), np.array([e["cosine"] for e in x])) for x in evidence])
+        """(scores, evidence) of the texts; evidence is (id, label, cosine) of the examples that voted."""
+        votes, evidence = np.zeros(len(texts)), []
+        for i, (near, cosine) in enumerate(self.whole.nearest(texts)):
+            votes[i] = self.vote(self.labels[near], cosine)
+            evidence.append([{"id": d, "label": int(y), "cosine": float(c)} for d, y, c in zip(self.ids[near].tolist(), self.labels[near], cosine)])
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * votes + b, -500, 500))), evidence
 
 
+def _among(codes: np.ndarray, counted: tuple[np.ndarray, int]) -> Callable[[np.ndarray], tuple[np.ndarray, int]]:
+    """Document frequencies of some of the sorted codes that were counted."""
+    return lambda wanted: (counted[0][np.searchsorted(codes, wanted)], counted[1])
+
+
 def _curve(votes: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     """Slope and offset of the logistic curve over votes, examples weighed back to their shares."""
     weight = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1))
@@ -401,31 +298,6 @@ def _curve(votes: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float
     return float(w[0]), float(w[1])
 
 
-def chosen_terms(texts: pa.Array, y: np.ndarray) -> np.ndarray:
-    """The codes of the TERMS terms that tell the labels apart best."""
-    codes, a, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for start, some in _parts(texts):
-        for code, own in terms(some):
-            code, inverse = np.unique(code, return_inverse=True)
-            pair = np.unique(inverse * len(some) + own)
-            each, label = pair // len(some), y[start + pair % len(some)]
-            # orders never share a code: shorter ones have zero bytes above
-            merged, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
-            a = np.bincount(at, np.concatenate((a, np.bincount(each, label, len(code)))), len(merged))
-            total = np.bincount(at, np.concatenate((total, np.bincount(each, minlength=len(code)))), len(merged))
-            codes = merged
-    enough = total >= LEAST_EXAMPLES
-    codes, a, total = codes[enough], a[enough], total[enough]
-    positive, rows = y.sum(), len(y)
-
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-
-    tie = sum(part(o, t * k / rows) for o, t, k in ((a, total, positive), (total - a, total, rows - positive), (positive - a, rows - total, positive), (rows - positive - total + a, rows - total, rows - positive)))
-    strong = np.flatnonzero(tie > 5)
-    return codes[strong[np.lexsort((codes[strong], -tie[strong]))[:TERMS]]]
-
-
 def fit(texts: pa.Array, ids: np.ndarray, y: np.ndarray, prior: float, frequency: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> Neighbours | float:
     """``frequency``: how many documents have each of some sorted codes, and how many there are; by default the examples'."""
     if not len(y) or y.min() == y.max():
@@ -434,7 +306,7 @@ def fit(texts: pa.Array, ids: np.ndarray, y: np.ndarray, prior: float, frequency
         return prior
     by = np.argsort(ids, kind="stable")
     texts, ids, y = texts.take(pa.array(by)), ids[by], y[by]
-    return Neighbours(chosen_terms(texts, y), texts, ids, y, prior, frequency)
+    return Neighbours(texts, ids, y, prior, frequency)
 
 
 def document_frequencies(rows: DataFrame, codes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -481,8 +353,8 @@ def score(docs: DataFrame, model: Neighbours | float, id_col: str = "doc_id", te
                 s, why = model.score(filled(batch.column("text")))
             else:
                 s, why = np.full(batch.num_rows, float(model)), [[]] * batch.num_rows
-            evidence = pa.list_(pa.struct([("id", batch.column("doc_id").type), ("label", pa.int32()), ("cosine", pa.float64()), ("terms", pa.string())]))
+            evidence = pa.list_(pa.struct([("id", batch.column("doc_id").type), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(why, evidence)], names=["doc_id", "score", "predicted", "evidence"])
 
-    found = rows.mapInArrow(run, f"doc_id {key}, score double, predicted int, evidence array<struct<id: {key}, label: int, cosine: double, terms: string>>")
+    found = rows.mapInArrow(run, f"doc_id {key}, score double, predicted int, evidence array<struct<id: {key}, label: int, cosine: double>>")
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "evidence")
