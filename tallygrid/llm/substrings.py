@@ -6,13 +6,15 @@ equal windows have equal anchors wherever they stand, and a maximal run of windo
 with one anchor is a block. A block is known by 128 bits (anchor and content), and
 the index keeps its source: the smallest document that has it, and the place there.
 
-A document is parsed greedily: from the first block that an earlier document has, a
-factor (start, length, source, place) grows block by block as long as the next block
-continues in the same source. A factor is a window long at least, so every one is a
-duplicate span. Where a factor ends, or none starts although an anchor is known, a
-match may go on for a part of the block: there the windows of the block are compared
-one by one with those of all other blocks of that anchor, and every match is a
-factor too, whose source is the smallest document that has the window.
+A document's matches grow block by block: from the first block that an earlier document
+has, a match (start, length, source, place) goes on as long as the next block continues
+in the same source. A match is a window long at least, so every one is a duplicate span.
+Where it ends, or none starts although an anchor is known, it may go on for a part of the
+block: there the windows of the block are compared one by one with those of all other
+blocks of that anchor, and every one that the smallest document with it has earlier is a
+match too. Matches that touch or overlap at one distance in one source are one maximal
+match; and from left to right, the parse takes the match that reaches farthest from where
+it stands: these are the document's factors. So what the matches cover, the factors do.
 
 What moves between machines is a row for each block (about one for 22 words, and one
 for a run of repeated words), not for each word; equal blocks meet in a partial sum
@@ -153,6 +155,51 @@ def boundary_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch | Non
     )
 
 
+def greedy(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, tag, found): each row's factors, from its matches ``found``."""
+    listed = batch.column("found")
+    flat, ends = listed.flatten(), listed.offsets.to_numpy() - listed.offsets[0].as_py()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+    start, length, place = (flat.field(n).to_numpy().astype(np.int64) for n in ("start", "length", "place"))
+    source = flat.field("source").dictionary_encode().indices.to_numpy()
+    apart = start - place
+    by = np.lexsort((start, apart, source, row))
+    new = _runs(row[by], source[by], apart[by])
+    run = np.cumsum(np.isin(np.arange(len(by)), new))
+    # within a run of one source and distance, how far the matches so far reach; runs don't mix, as each is lifted above the last
+    lift = run * (int((start + length).max(initial=0)) + 1)
+    reach = np.maximum.accumulate((start + length)[by] + lift) - lift
+    gap = np.ones(len(by), bool)
+    gap[1:] = (run[1:] != run[:-1]) | (start[by][1:] > reach[:-1])
+    first = np.flatnonzero(gap)
+    last = np.append(first[1:], len(by)) - 1 if len(first) else first
+    own, lo, hi, at = row[by][first], start[by][first], reach[last], by[first]
+    chosen, order = [], np.lexsort((-hi, lo, own))
+    text, done, best = -1, 0, -1
+    for k in order.tolist() + [-1]:
+        if k < 0 or own[k] != text:
+            if best >= 0:
+                chosen.append(best)
+            if k < 0:
+                break
+            text, done, best = own[k], -1, -1
+        if best >= 0 and lo[k] > done:  # no longer one that begins where the parse stands
+            chosen.append(best)
+            done, best = hi[best], -1
+        if hi[k] <= done:
+            continue
+        if best < 0 and lo[k] > done:
+            done = lo[k]
+        if best < 0 or hi[k] > hi[best]:
+            best = k
+    take = np.array(chosen, np.int64)
+    counts = np.bincount(own[take], minlength=batch.num_rows)
+    values = [pa.array(lo[take].astype(np.int32)), pa.array((hi - lo)[take].astype(np.int32)), flat.field("source").take(pa.array(at[take])), pa.array(place[at[take]].astype(np.int32))]
+    factors = pa.StructArray.from_arrays(values, names=["start", "length", "source", "place"])
+    found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), factors)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), found], names=["doc_id", "tag", "found"])
+
+
 def _merged(found: list[dict] | None) -> list[list[int]]:
     """The word ranges [from, to) that the factors cover, in order."""
     spans: list[list[int]] = []
@@ -231,7 +278,8 @@ def factors(texts: DataFrame, window: int) -> DataFrame:
     met = _sourced(ends, again, ("anchor", "hash")).filter(F.col("source") < F.col("doc_id"))
     one = F.transform("places", lambda p: F.struct(p.alias("start"), F.lit(window).alias("length"), F.col("source"), F.col("place")))
     every = parsed.filter(F.size("factors") > 0).select("doc_id", "tag", "factors").unionByName(met.select("doc_id", "tag", one.alias("factors")))
-    return settle(every.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("factors")).alias("found")), "substring-factors")
+    matches = every.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("factors")).alias("found"))
+    return settle(_mapped(matches, lambda x, _: greedy(x), window, f"doc_id {key}, tag bigint, found array<{FACTOR.format(key=key)}>", cutting=iter), "substring-factors")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
