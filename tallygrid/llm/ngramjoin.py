@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import join_hot, join_spread, settle
+from tallygrid.llm.common import hot_parts, join_hot, join_spread, settle
 from tallygrid.llm.components import components
 from tallygrid.llm.words import MIX_A, Runs, filled, mixed, slices, split_words, text_of, word_hashes
 
 #: A power of two. Too few axes make the minima of unrelated sets add up to most of their sizes.
 AXES = 64
 #: Points in a leaf, and children of an inner node below the levels of class and size.
-LEAF, FAN = 128, 8
+LEAF, FAN = 32, 8
 #: Rounds against one pivot before the descent.
 ROUNDS = 1
 #: Groups named beyond those that decide, by share, and groups beyond those named, so that few are empty.
@@ -191,7 +191,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = settle(pairs, "join-pairs")
     left = sets.select(F.col("doc_id").alias("a"), F.col("point").alias("pa"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("point").alias("pb"), F.col("shingles").alias("sb"))
-    both = join_spread(pairs, left, "a", "b").join(right, "b")
+    both = join_spread(pairs, left, "a", "b")
+    if hot_parts(pairs, "b").take(1):  # a document of very many pairs is dealt out on this side too
+        both = join_spread(settle(both, "join-halves"), right, "b", "a")
+    else:
+        both = both.join(right, "b")
     total = F.size("sa") + F.size("sb")
     may = _bound("pa", "pb") * (100 + percent) >= total * percent
     shared = F.when(may, F.size(F.array_intersect("sa", "sb")))
@@ -316,10 +320,10 @@ def _classed(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _against_pivots(classed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each tree's pivot with its members of other classes, sizes permitting."""
+    """(a, b): the pivot of each tree of more than a leaf with the members of other classes, sizes permitting."""
     rank = F.struct("doc_id", "n", "class") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), "doc_id", "n", "class")
     pivots = classed.groupBy("key").agg(F.min(rank).alias("c"), F.count(F.lit(1)).alias("many"))
-    pivots = pivots.select("key", F.col("c.doc_id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.class").alias("c_class"), "many")
+    pivots = pivots.filter(F.col("many") > LEAF).select("key", F.col("c.doc_id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.class").alias("c_class"), "many")
     near = (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent) & (F.col("class") != F.col("c_class"))
     pairs = join_hot(classed, settle(pivots, "join-pivots"), ("key",), "many").filter(near)
     return pairs.select(F.least("doc_id", "c_id").alias("a"), F.greatest("doc_id", "c_id").alias("b")).distinct()
@@ -330,11 +334,15 @@ PATH = ("own", "height", "part")
 BOX = ("lo", "hi", "n_lo", "n_hi", "corner")
 
 
+def _corner() -> Column:
+    """The largest of each coordinate of ``corners``."""
+    return F.aggregate("corners", F.array_repeat(F.lit(0), AXES), lambda s, c: F.zip_with(s, c, lambda x, y: F.greatest(x, y)))
+
+
 def _boxed(rows: DataFrame, by: list[str], corner: str, *more: Column) -> DataFrame:
     """The nodes that ``rows`` with boxes (or points) fall into, with the box around them."""
     nodes = rows.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.collect_list(corner).alias("corners"), *more)
-    top = F.aggregate("corners", F.array_repeat(F.lit(0), AXES), lambda s, c: F.zip_with(s, c, lambda x, y: F.greatest(x, y)))
-    return nodes.withColumn("corner", top).drop("corners")
+    return nodes.withColumn("corner", _corner()).drop("corners")
 
 
 def packed(classed: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
@@ -343,7 +351,8 @@ def packed(classed: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]
     Each has (key, node, parent) and the box. Large classes stand apart and small ones
     together, then points of like size, then parts of about LEAF points by a hash.
     """
-    points = sets.select(F.col("doc_id").alias("p_id"), "point").dropDuplicates(["p_id"])
+    # an id of several sets stands at the corner of their points, which bounds each of them
+    points = sets.groupBy(F.col("doc_id").alias("p_id")).agg(F.collect_list("point").alias("corners")).select("p_id", _corner().alias("point"))
     sizes = settle(classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("many")), "join-sizes")
     few = F.sum(F.when(F.col("many") < LEAF, F.col("many")).otherwise(0))
     small = settle(sizes.groupBy("key").agg(few.alias("few"), F.sum("many").alias("all"), F.max("many").alias("most")), "join-small")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from oracle import SF
 from tallygrid.llm import common, extraction, language, ngramjoin, quality, repetition, toxicity
 from tallygrid.llm.words import filled
+from tests_llm_plain import classes_of
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables missing")
 MID = SF.replace("0.001", "0.01")
@@ -253,6 +254,29 @@ def test_language_of_a_text_ignores_its_neighbours():
         assert np.allclose(model.logits(filled(pa.array([t])))[0], together[i])
 
 
+@needs_data
+def test_trees_find_the_links_of_the_given_documents(spark, monkeypatch):
+    """No tree there has more than a leaf, so no pivot does it."""
+    links, plain = [], ngramjoin.verified
+
+    def counted(*given):
+        found = plain(*given)
+        links.append(found.distinct().count())
+        return found
+
+    monkeypatch.setattr(ngramjoin, "verified", counted)
+    assert ngramjoin.link(spark.read.parquet(f"{MID}/documents.parquet")).count() == 1000
+    assert links[0] == 0 and links[-1] > 0
+
+
+def test_a_document_of_very_many_pairs_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts = {i: " ".join(f"w{j}" for j in range(60)) + f" x{i % 9} y{i % 9}" for i in range(30)} | {i: f"alone {i} " * 20 for i in range(30, 34)}
+    want = classes_of(texts, 3, 90)
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.link(frame(spark, list(texts.values()))).collect()}
+    assert got == want
+
+
 @needs_data
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
