@@ -1,19 +1,21 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block element's own text. Lines of menus,
-headers, footers, sidebars, notices, adverts, forms, comments and other parts that
-tags, roles, class names or hiding set apart go with the markup. Every other line gets
-a weight: its text less what is link text, and a constant for standing in a block of
-its own; nothing, if it is one link. Marks only multiply weights: lines of a marked
-article (an article or main element) weigh more, and where it holds most of the text
-the lines around it weigh a fraction; where they hold more, they keep their weight.
-
-Weights are summed over sliding windows of ``WINDOW`` lines. The sums' course decides,
-on every page: the main text begins at a surge, where a sum passes ``SURGE``, from the
-first line of weight in that window, and ends at a dive, where a sum falls under
-``DIVE`` of it; there may be several surges and dives. Lines between them that weigh
-as much as a dive are kept. A single line that is one link stays in a marked article's
-text, as links in the text do; several in a row are a list.
+Markup is stripped to lines, one for each block element's own text, and every line gets
+a weight: its text less what is link text, up to ``FULL`` characters, and a constant for
+standing in a block of its own; nothing, if it is one link. Marks only multiply weights,
+and no line is left out before: lines of a marked article (an article or main element)
+weigh more, those around one less, and lines of menus, headers, footers, sidebars,
+notices, adverts, forms, comments and other parts that tags, roles, class names or hiding
+set apart weigh so little that not even a long one inside the article weighs as much as
+the shortest line of the article's own. Scripts, styles and other raw parts have no text.
+
+Weights are summed over sliding windows of ``WINDOW`` lines that aren't set apart, with
+what stands between. The sums' course decides, on every page: the main text begins at a
+surge, where a sum passes ``SURGE``, from the first line of weight in that window, and
+ends at a dive, where a sum falls under ``DIVE`` of it; there may be several surges and
+dives. Lines between them that weigh as much as a dive are kept. A single line that is
+one link stays in a marked article's text, as links in the text do; several in a row are
+a list. A page whose sums all stay under ``NOTHING`` has no main text.
 
 Defined results: null, empty and textless pages have empty text; unclosed elements
 and comments reach to the end of their surroundings; each row gives one row,
@@ -35,8 +37,12 @@ from tallygrid.llm.words import slices
 
 #: Lines in a window, the sum of weights that makes a surge, and the share of it under which a sum dives.
 WINDOW, SURGE, DIVE = 3, 120, 1 / 12
-#: What a block of text weighs beside its length, and factors for lines of a marked article and lines around it.
-BLOCK, MARKED, AROUND = 15, 3, 0.02
+#: What a block of text weighs beside its length, and the most characters that count.
+BLOCK, FULL = 15, 300
+#: Factors for lines of a marked article, for lines around it, and for lines of parts set apart.
+MARKED, AROUND, APART = 3, 0.3, 0.002
+#: No window of lines that are all set apart weighs so much.
+NOTHING = 6
 #: A line that begins like a legal one is a paragraph from this length on.
 LONG = 80
 
@@ -186,19 +192,31 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def weigh(lines: list[tuple[str, int, bool, bool]]) -> list[float]:
     """The weight of each line of ``lines_of``."""
-    # a line that is one link is a menu's, wherever it stands
-    links = [linked >= 0.9 * len(text) for text, linked, *_ in lines]
-    own = [0 if link else max(len(text) - 2 * linked, 0) for (text, linked, *_), link in zip(lines, links)]
-    legal = [not inside and len(text) < LONG and LEGAL.match(text) is not None for text, _, inside, _ in lines]
-    own = [0 if law else w for w, law in zip(own, legal)]
-    held = sum(w for w, (_, _, inside, _) in zip(own, lines) if inside)
-    around = AROUND if held and 2 * held >= sum(own) else 1
-    return [(w + BLOCK) * (MARKED if inside else around) if w else 0.0 for w, (_, _, inside, _) in zip(own, lines)]
+    around = AROUND if any(inside and not apart for _, _, inside, apart in lines) else 1
+    weights = []
+    for text, linked, inside, apart in lines:
+        # a line that is one link is a menu's, wherever it stands
+        own = 0 if linked >= 0.9 * len(text) else max(len(text) - 2 * linked, 0)
+        if not inside and len(text) < LONG and LEGAL.match(text):
+            own = 0
+        weights.append((min(own, FULL) + BLOCK) * (MARKED if inside else around) * (APART if apart else 1) if own else 0.0)
+    return weights
+
+
+def window_sums(weights: list[float], counted: list[bool]) -> list[float]:
+    """For each line, the weights from it on to the last of the next WINDOW lines that count."""
+    total, end, many, sums = 0.0, 0, 0, []
+    for i, weight in enumerate(weights):
+        while end < len(weights) and (many < WINDOW or not counted[end]):
+            total, many, end = total + weights[end], many + counted[end], end + 1
+        sums.append(max(total, weight))
+        total, many = total - weight, many - counted[i]
+    return sums
 
 
-def spans(weights: list[float]) -> list[bool]:
+def spans(weights: list[float], counted: list[bool] | None = None) -> list[bool]:
     """Whether each line lies between a surge and a dive of the window sums."""
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    sums = window_sums(weights, counted or [True] * len(weights))
     surge = min(SURGE, max(sums, default=0))
     found, inside = [], False
     for weight, total in zip(weights, sums):
@@ -212,17 +230,18 @@ def spans(weights: list[float]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     """The article's lines."""
-    lines = [x for x in lines_of(page or "") if not x[3]]  # parts set apart don't end the text
-    weights = weigh(lines)
-    within = spans(weights)
-    least = min(SURGE, max(weights, default=0)) * DIVE
+    lines = lines_of(page or "")
+    weights, own = weigh(lines), [not apart for *_, apart in lines]
+    sums = window_sums(weights, own)
+    if max(sums, default=0) < NOTHING:
+        return ""
+    least = min(SURGE, max(weights)) * DIVE
+    lone, before = [False] * len(lines), [i for i, x in enumerate(own) if x]
     links = [linked >= 0.9 * len(text) for text, linked, *_ in lines]
-    lone = [a and not b and not c for a, b, c in zip(links, [False, *links], [*links[1:], False])]
-    kept = []
-    for (text, _, marked, _), weight, single, inside in zip(lines, weights, lone, within):
-        if inside and (weight >= least > 0 or single and marked):
-            kept.append(text)
-    return "\n".join(kept)
+    for a, i, b in zip([None, *before], before, [*before[1:], None]):
+        lone[i] = links[i] and not (a is not None and links[a]) and not (b is not None and links[b])
+    within = spans(weights, own)
+    return "\n".join(text for (text, _, marked, _), weight, single, inside in zip(lines, weights, lone, within) if inside and (weight >= least or single and marked))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -211,6 +211,27 @@ def test_spans_of_the_distribution(monkeypatch):
             assert extraction.main_text(page).startswith("Menu of it")
 
 
+def test_parts_set_apart_are_weighed_and_never_pass():
+    long = " ".join(["words of a reader"] * 400)
+    page = f"<article><p>Hi.</p><div class='comments'><p>{long}</p><p>{long}</p></div><p>End.</p></article><aside><p>{long}</p></aside>"
+    assert extraction.main_text(page) == "Hi.\nEnd."
+    weights = extraction.weigh(extraction.lines_of(page))
+    assert len(weights) == 5 and min(weights) > 0
+    assert extraction.main_text(f"<nav><p>{long}</p></nav><div class='cookie-notice'>{long}</div>") == ""
+    body = "b" * 300
+    assert extraction.main_text(f"<article><p>{ARTICLE * 20}</p></article><p>{body}</p>") == f"{ARTICLE * 20}\n{body}"
+
+
+@needs_data
+def test_windows_and_surges_decide_on_the_given_pages(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{MID}/pages.parquet").collect()]
+    texts = [extraction.main_text(p) for p in pages]
+    monkeypatch.setattr(extraction, "WINDOW", 1)
+    assert sum(extraction.main_text(p) != t for p, t in zip(pages, texts)) > 5
+    monkeypatch.setattr(extraction, "SURGE", 400)
+    assert sum(extraction.main_text(p) != t for p, t in zip(pages, texts)) > 100
+
+
 def test_extraction_of_frames(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (3, "v", "<article>" + "<p>é" * 50_000)], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("c"))
     got = sorted([(r["page_id"], r["url"], r["n_chars"]) for r in extraction.extract(pages).collect()], key=repr)
