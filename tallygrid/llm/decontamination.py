@@ -67,7 +67,10 @@ def prefixes(texts: DataFrame, windows: DataFrame, pair: bool, small: bool) -> D
     places = windows.select("window", "words", F.explode(F.sequence(F.lit(0), last)).alias("offset"))
     places = places.select("window", "words", "offset", _shingle(F.col("words"), F.col("offset"), pair).alias("shingle"))
     wanted = places.select("shingle").distinct()
-    counts = _walk(texts, pair).join(F.broadcast(wanted) if small else wanted, "shingle").groupBy("shingle").count()
+    if small:
+        counts = _walk(texts, pair).join(F.broadcast(wanted), "shingle").groupBy("shingle").count()
+    else:  # counted before they meet, so that a common shingle is a row a task
+        counts = _walk(texts, pair).groupBy("shingle").count().join(wanted, "shingle")
     rated = places.join(counts, "shingle", "left")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "offset", "shingle")).alias("r")
     chosen = rated.groupBy("window").agg(rarest, F.first("words").alias("words")).filter(F.col("r.n") > 0)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import settle, space_words
+from tallygrid.llm.common import join_spread, settle, space_words
 
 HASH_BITS = 60
 #: Up to so many sources the per-source table (under 100 bytes a row) is broadcast.
@@ -97,14 +97,15 @@ def mix(
     )
     sized = settle(docs.select(*measures), "mix-sized")
     sources = settle(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
-    small = (lambda df: F.broadcast(df)) if sources.count() <= BROADCAST_SOURCES else (lambda df: df)
+    few = sources.count() <= BROADCAST_SOURCES
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
 
     whole = F.least(F.lit(most), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
     plan = sources.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
     cut = plan.select(F.col("source").alias("c_source"), F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
     for low in range(HASH_BITS - bits, -1, -bits):
-        cut = _refine(sized, small(cut), low, bits)
+        cut = _refine(sized, cut, low, bits, few)
     cut = cut.select("c_source", F.col("prefix").alias("threshold"), (F.col("left") * 2 >= F.col("tokens")).alias("inclusive"))
 
     per_source = plan.join(small(cut), F.col("source").eqNullSafe(F.col("c_source")), "left").select(
@@ -114,20 +115,40 @@ def mix(
     copies = F.col("whole") + F.coalesce(picked, F.lit(False)).cast("long")
     found = ("size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     same = F.col("source").eqNullSafe(F.col("p_source"))
+    # beyond a broadcast, a source of very many documents is dealt out
+    named = per_source.withColumn("p_key", _named(F.col("p_source")))
+
+    def planned(rows: DataFrame) -> DataFrame:
+        if few:
+            return rows.join(small(per_source), same)
+        return join_spread(rows.withColumn("p_key", _named(F.col("source"))), named, "p_key", "doc_id")
+
     if not whole_rows:
-        return sized.join(small(per_source), same).select("doc_id", "source", *found)
+        return planned(sized).select("doc_id", "source", *found)
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     rows = docs.select(*measures, F.struct(*own).alias("row"))
-    return rows.join(small(per_source), same).select("row.*", *found)
+    return planned(rows).select("row.*", *found)
+
+
+def _named(source: Column) -> Column:
+    """A source as a key that isn't null."""
+    return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
 
 
-def _refine(sized: DataFrame, cut: DataFrame, low: int, bits: int) -> DataFrame:
+def _refine(sized: DataFrame, cut: DataFrame, low: int, bits: int, few: bool) -> DataFrame:
     """One level: for each source still open, the bucket of its next ``bits`` bits that passes what is left.
 
     A source whose whole size fits drops out at the first level: all of it is taken.
+    ``few``: the sources are broadcast; else documents are summed by bucket before they
+    meet them, as at the first level all of a source have one prefix.
     """
-    inside = sized.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.shiftright("h", low + bits) == F.col("prefix")))
-    sums = inside.groupBy("c_source", "left", F.shiftright("h", low).alias("prefix")).agg(F.sum("size").alias("tokens"))
+    wanted = F.col("source").eqNullSafe(F.col("c_source")) & (F.shiftright("h", low + bits) == F.col("prefix"))
+    if few:
+        sums = sized.join(F.broadcast(cut), wanted).groupBy("c_source", "left", F.shiftright("h", low).alias("prefix")).agg(F.sum("size").alias("tokens"))
+    else:
+        buckets = sized.groupBy("source", F.shiftright("h", low).alias("bucket")).agg(F.sum("size").alias("held"))
+        above = F.shiftright("bucket", bits) == F.col("prefix")
+        sums = buckets.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & above).select("c_source", "left", F.col("bucket").alias("prefix"), F.col("held").alias("tokens"))
     order = Window.partitionBy("c_source").orderBy("prefix")
     running = sums.withColumn("upto", F.sum("tokens").over(order)).filter(F.col("upto") > F.col("left"))
     first = running.groupBy("c_source").agg(F.min(F.struct("prefix", "tokens", "upto", "left")).alias("b"))

@@ -48,8 +48,10 @@ def test_odd_rows_decontamination(spark):
     same_rows(decontamination.digest(decontamination.decontaminate(docs_of(spark), items_of(spark))), decontamination.ORACLE, frames())
 
 
-def test_odd_rows_decontamination_without_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_odd_rows_decontamination_without_broadcast(spark, monkeypatch, hot):
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     same_rows(decontamination.digest(decontamination.decontaminate(docs_of(spark), items_of(spark))), decontamination.ORACLE, frames())
 
 
@@ -111,8 +113,10 @@ def test_odd_rows_mixing(spark):
     same_rows(mixing.mix(docs_of(spark)).select("doc_id", "size", "source_size", "target", "taken"), mixing.ORACLE, frames())
 
 
-def test_mixing_without_broadcast_and_whole_rows(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_mixing_without_broadcast_and_whole_rows(spark, monkeypatch, hot):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     same_rows(mixing.mix(docs_of(spark)).select("doc_id", "size", "source_size", "target", "taken"), mixing.ORACLE, frames())
     rows = mixing.mix(docs_of(spark), whole_rows=True)
     same_rows(rows.select("doc_id", "size", "source_size", "target", "taken"), mixing.ORACLE, frames())
@@ -139,6 +143,13 @@ def test_targets_of_many_sources_are_filled_by_ranges(spark):
 
 
 @needs_data
+def test_mixing_of_an_empty_table_and_of_one_hash(spark, monkeypatch):
+    assert mixing.mix(docs_of(spark).limit(0)).collect() == []
+    monkeypatch.setattr(mixing, "id_hash", lambda key: F.lit(7).cast("long"))
+    got = {r["source"]: (r["taken"], r["copies"]) for r in mixing.mix(spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")).collect()}
+    assert set(got) == {"a", "b"} and all(copies in (0, 1, 2) and taken == 10 * copies for taken, copies in got.values())
+
+
 def test_mixing_comes_near_its_targets(spark):
     got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"), size=("source_size", "first"))
