@@ -156,11 +156,12 @@ def build(conversations: DataFrame, turns: DataFrame) -> DataFrame:
             "conv_id", "depth", F.col("conv_id").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.least(F.col("left"), F.lit(1)).alias("n_children"),
             F.lit(1).cast("long").alias("n_leaves"), ((F.col("n") - 1) * (F.col("size") + F.col("below"))).alias("saved_tokens"),
         ))
-    top = conversations.limit(1).select(F.lit(first).alias("conv_id"), F.lit(0).alias("depth"), F.lit(None).cast(conversations.schema["conv_id"].dataType).alias("parent_conv_id"), F.lit(many).alias("n_convs"))
+    own = {"depth": F.lit(0), "parent_conv_id": F.lit(None).cast("long"), "n_convs": F.lit(many)}
     if below is None:
-        nodes.append(top.withColumns({"n_children": F.lit(0), "n_leaves": F.lit(1), "saved_tokens": F.lit(0)}))
+        root = conversations.filter(F.col("conv_id") == first).withColumns(own | {"n_children": F.lit(0), "n_leaves": F.lit(1), "saved_tokens": F.lit(0)})
     else:
-        nodes.append(top.join(below.withColumnRenamed("s", "saved_tokens"), "conv_id"))
+        root = below.withColumnRenamed("s", "saved_tokens").withColumns(own)
+    nodes.append(root)
     every = reduce(DataFrame.unionByName, [n.select(*NODE) for n in nodes])
     hashed = _hashed_ends(reduce(DataFrame.unionByName, [e.select(F.col("node").cast("long").alias("node"), "depth", F.col("member").cast("long").alias("member")) for e in ends]))
     out = every.join(hashed, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY)))
