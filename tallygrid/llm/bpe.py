@@ -55,8 +55,9 @@ SINGLE = """
 single(w, p, id, next) as (
     select w, p::int, v.id, x.piece[p + 2:p + 2] from (select w, piece, unnest(range(octet_length(piece))) as p from words) x join vocab v on v.piece = x.piece[p + 1:p + 1])"""
 
+# a word's first row is there in each of its steps
 LAST = """
-select w, id from step join (select w, max(i) as i from step group by w) using (w, i) order by w, p"""
+select w, p, id from step join (select w, max(i) as i from step where p = 0 group by w) using (w, i)"""
 
 # a row knows its neighbours, so only the rows around a contraction look up a rank
 CONTRACT_ONE = f"""
@@ -170,15 +171,14 @@ class Coder:
         raw = [w.encode() for w in words]
         self.db.register("given", pa.table({"w": pa.array(range(len(raw)), pa.int32()), "piece": pa.array(raw, pa.binary())}))
         self.db.execute("create or replace table asked as select w, given.piece, v.id as whole from given left join vocab v using (piece)")
-        parts = [self.db.sql("select w, whole as id from asked where whole is not null").to_arrow_table()]
+        parts = [self.db.sql("select w, 0 as p, whole as id from asked where whole is not null").to_arrow_table()]
         self.db.execute(f"create or replace table words as select w, piece from asked where whole is null and octet_length(piece) <= {LONG}")
         parts.append(self.db.sql(CONTRACT_ONE).to_arrow_table())
         for (w,) in self.db.execute(f"select w from asked where whole is null and octet_length(piece) > {LONG}").fetchall():
             self.db.execute("create or replace table words as select w, piece from asked where w = ?", [w])
             parts.append(self.db.sql(CONTRACT_MANY).to_arrow_table())
-        w = np.concatenate([t["w"].to_numpy() for t in parts])
-        by = np.argsort(w, kind="stable")
-        self.ids_of.add(np.concatenate([t["id"].to_numpy() for t in parts])[by], np.bincount(w, minlength=len(words)))
+        w, p, ids = (np.concatenate([t[c].to_numpy() for t in parts]) for c in ("w", "p", "id"))
+        self.ids_of.add(ids[np.lexsort((p, w))], np.bincount(w, minlength=len(words)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has)."""

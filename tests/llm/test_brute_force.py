@@ -267,6 +267,15 @@ def test_language(spark):
     assert language.identify(nothing, language.learn(docs)).count() == 0
 
 
+def test_language_of_very_long_and_repeated_rows(spark):
+    docs = sentences(spark)
+    said = {"aa": "the and thing with " * 60_000, "bb": "das und nicht schön " * 60_000}
+    more = spark.createDataFrame([(i, said[x]) for i, x in ((900, "aa"), (900, "aa"), (901, "bb"), (901, "bb"))], "doc_id long, text string")
+    rows = language.identify(more, language.learn(docs)).collect()
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in rows) == [(900, "aa"), (900, "aa"), (901, "bb"), (901, "bb")]
+    assert len({(r["doc_id"], r["score"]) for r in rows}) == 2
+
+
 def test_language_of_a_text_ignores_its_neighbours():
     model = language.fit([" ".join(SAYING[x]) for x in ("aa", "bb")] * 20, ["aa", "bb"] * 20)
     texts = ["the and", "und nicht", "thing", "", "schön das"]

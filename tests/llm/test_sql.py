@@ -195,3 +195,12 @@ def test_url_filter_without_broadcast(spark, monkeypatch):
     want = judged()
     monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", 0)
     assert judged() == want and len(want) == 5 * len(URLS)
+
+
+def test_ties_between_lists_and_very_long_urls(spark):
+    day = "2024-02-01"
+    tied = [("a", "host", "tie.example.com", "allow", day), ("b", "host", "tie.example.com", "block", day), ("c", "host", "tie.example.com", "block", day), ("a", "url", "long.example.com/" + "p" * 100_000, "block", day)]
+    urls = ["http://tie.example.com/x", "http://tie.example.com/x", "http://long.example.com/" + "p" * 100_000, "http://long.example.com/" + "p" * 99_999, "http://" + "s." * 2_000 + "tie.example.com/"]
+    captures = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("fetched", F.to_timestamp(F.lit("2024-03-01")))
+    got = {r["page_id"]: (r["list"], r["action"]) for r in urlfilter.judge(captures, urlfilter.entries_frame(spark, tied)).collect()}
+    assert got == {0: ("c", "block"), 1: ("c", "block"), 2: ("a", "block"), 3: (None, None), 4: (None, None)}
