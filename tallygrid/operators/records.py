@@ -76,7 +76,8 @@ def replayed(actions: DataFrame, device: str = "device_id", order: str = "seq")
     gathered, and of the rest only numbers are: join the appended records by ``seq``.
     A group is what one device's user did since; actions without device or order are left out.
     """
-    given = actions.filter(F.col(device).isNotNull() & F.col(order).isNotNull()).select(F.col(device).alias("_device"), F.col(order).alias("_seq"), "kind", F.col("position").cast("int").alias("position"))
+    named = actions.filter(F.col(device).isNotNull() & F.col(order).isNotNull())
+    given = named.select(F.col(device).alias("_device"), F.col(order).alias("_seq"), "kind", F.col("position").cast("int").alias("position"))
     cleared = given.filter(F.col("kind") == CLEAR).groupBy("_device").agg(F.max("_seq").alias("_clear"))
     since = given.filter(F.col("kind").isin(APPEND, DELETE)).join(cleared, "_device", "left").filter(F.col("_clear").isNull() | (F.col("_seq") > F.col("_clear")))
     done = since.groupBy("_device").agg(F.array_sort(F.collect_list(F.struct("_seq", "kind", "position"))).alias("done"))

@@ -39,7 +39,10 @@ def matched(requests: DataFrame, replies: DataFrame, limit: float, horizon: floa
     first = F.min(F.when(~F.col("own"), F.struct("us", F.col("error").isNotNull().alias("bad"), "error"))).alias("first")
     whole = every.unionByName(found).groupBy("key").agg(F.max("id").alias("id"), F.max("at").alias("at"), F.count_if(~F.col("own")).alias("replies"), first)
     waited = F.col("first.us") - F.unix_micros(F.col("at").cast("timestamp"))
-    return whole.select("key", "id", "at", _status(waited, most).alias("status"), (F.col("replies") > 1).alias("repeated"), "replies", F.timestamp_micros("first.us").alias("replied"), F.col("first.error").alias("error"))
+    return whole.select(
+        "key", "id", "at", _status(waited, most).alias("status"), (F.col("replies") > 1).alias("repeated"), "replies",
+        F.timestamp_micros("first.us").alias("replied"), F.col("first.error").alias("error"),
+    )
 
 
 def _status(waited: Column, most: int) -> Column:

@@ -28,7 +28,8 @@ def variant_elements(spark, sf_dir):
     boxes = F.transform("boxes", lambda b: b.withField("expected_digit", F.when((key % 3 == 0) & (b["id"] == 1), b["expected_digit"] + 1).otherwise(b["expected_digit"])))
     fewer = F.filter(boxes, lambda b: ~((key % 4 == 0) & (b["id"] == 2)))
     more = F.when(key % 6 == 0, F.array_append(fewer, F.get("boxes", F.lit(0)).withField("id", F.lit(9)))).otherwise(fewer)
-    other = F.transform("question_groups", lambda q: F.when((key % 2 == 0) & (q["question_num"] == 1), q.withField("problem", F.concat(q["problem"], F.lit("?"))).withField("answer", q["answer"] + 1)).otherwise(q))
+    changed = lambda q: q.withField("problem", F.concat(q["problem"], F.lit("?"))).withField("answer", q["answer"] + 1)
+    other = F.transform("question_groups", lambda q: F.when((key % 2 == 0) & (q["question_num"] == 1), changed(q)).otherwise(q))
     b = a.withColumn("question_groups", F.reverse(other)).withColumn("boxes", F.when(key % 5 == 0, F.reverse(more)).otherwise(more))
     found = integrity.element_differences(a, b, "layout_id", {"boxes": "id", "question_groups": "question_num"})
     return found.withColumn("fields", F.array_join("fields", ","))
@@ -138,11 +139,13 @@ def recognized_answers(spark, sf_dir):
     )
     family = F.when(F.col("p_partkey") % 2 == 0, F.lit("money")).otherwise(F.lit(""))
     contract = F.struct(
-        family.alias("layout_family"), F.lit(3).alias("slots"), F.when(F.col("p_partkey") % 3 == 0, F.lit(2.0)).otherwise(F.lit(0.0)).alias("max_digits"), F.array(F.lit(1.0), F.lit(0.0)).alias("optional"),
+        family.alias("layout_family"), F.lit(3).alias("slots"), F.when(F.col("p_partkey") % 3 == 0, F.lit(2.0)).otherwise(F.lit(0.0)).alias("max_digits"),
+        F.array(F.lit(1.0), F.lit(0.0)).alias("optional"),
     )
     read = decode.recognize(parts.withColumn("steps", steps).withColumn("contract", contract), "steps", "contract")
     said = F.when(F.col("reading.decoded.valid") | (F.col("reading.decoded.reason") == "layout-length-contract"), F.col("reading.decoded.text")).otherwise(F.lit(""))
     return read.select(
-        "p_partkey", said.alias("text"), "reading.decoded.blank", "reading.decoded.valid", "reading.decoded.reason", F.round("reading.least", 10).alias("least"), F.round("reading.mean", 10).alias("mean"),
+        "p_partkey", said.alias("text"), "reading.decoded.blank", "reading.decoded.valid", "reading.decoded.reason",
+        F.round("reading.least", 10).alias("least"), F.round("reading.mean", 10).alias("mean"),
         F.size("reading.probabilities").alias("steps"), "reading.limit", "reading.layout_family", F.array_join("reading.blank_slots", ",").alias("blank_slots"),
     )

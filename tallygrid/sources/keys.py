@@ -40,7 +40,8 @@ def read_keys(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     whole number is null. Null pages have no sheets.
     """
     sheets = pages.select(*keep, F.posexplode(_inside(F.coalesce(F.col(html), F.lit("")), "section")).alias("sheet", "_section"))
-    rows = sheets.select(*keep, "sheet", plain(F.get(_inside(F.col("_section"), "h2"), F.lit(0))).alias("title"), F.posexplode(F.filter(cells(F.col("_section")), lambda r: F.size(r) >= 3)).alias("position", "_row"))
+    title, full = plain(F.get(_inside(F.col("_section"), "h2"), F.lit(0))), F.filter(cells(F.col("_section")), lambda r: F.size(r) >= 3)
+    rows = sheets.select(*keep, "sheet", title.alias("title"), F.posexplode(full).alias("position", "_row"))
     at = lambda i: F.get("_row", F.lit(i))
     return rows.select(*keep, "sheet", "title", "position", at(0).alias("item"), at(1).alias("prompt"), at(2).try_cast("int").alias("answer"))
 

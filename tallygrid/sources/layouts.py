@@ -60,7 +60,8 @@ def questions(layouts: DataFrame) -> DataFrame:
 
 
 def responses(layouts: DataFrame) -> DataFrame:
-    return questions(layouts).select("layout_id", "question_num", "answer", F.posexplode("accepted_digit_responses").alias("position", "response")).select("layout_id", "question_num", "answer", "position", "response.*")
+    own = ("layout_id", "question_num", "answer")
+    return questions(layouts).select(*own, F.posexplode("accepted_digit_responses").alias("position", "response")).select(*own, "position", "response.*")
 
 
 def optional_slots(layouts: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallygrid.operators import records
-from tallygrid.sources import layouts
+from tallygrid.sources import layouts, store
 
 
 def layout(**changes):
@@ -77,9 +77,9 @@ def test_records(spark, tmp_path):
     assert set(rows) == {"Ann", "Cy"}
     assert rows["Ann"]["worksheetLabel"] == "Sheet A - Addition Within 20" and rows["Cy"]["worksheetLabel"] == "other"
     assert rows["Ann"]["id"] == "legacy-1704067200500" and rows["Ann"]["savedAt"] == "2024-01-01T00:00:00.500Z"
-    records.write(saved, str(tmp_path / "r"))
-    again = spark.read.parquet(str(tmp_path / "r"))
-    assert {tuple(r) for r in records.cards(again).select("name", "photo").collect()} == {("Ann", "selected image (2 KB)"), ("Cy", "selected image (2 KB)")}
+    assert store.replace(saved, str(tmp_path / "r")).saved
+    again = store.load(spark, str(tmp_path / "r"), saved.schema)
+    assert {tuple(r) for r in records.cards(again, ["worksheetLabel"]).select("name", "photo").collect()} == {("Ann", "selected image (2 KB)"), ("Cy", "selected image (2 KB)")}
     left = records.without_position(again.withColumn("g", F.lit(1)), ["g"], ["studentName"], 0)
     assert [r["studentName"] for r in left.collect()] == ["Cy"]
     assert records.cleared(again).count() == 0
