@@ -148,7 +148,8 @@ def build(conversations: DataFrame, turns: DataFrame) -> DataFrame:
             whole = whole.unionByName(parted.select("conv_id", "parent", "n", "n_children", "n_leaves", ((F.col("n") - 1) * F.col("size") + F.col("s")).alias("saved")))
         rolled = settle(whole, "trie-rolled")
         below = rolled.groupBy(F.col("parent").alias("conv_id")).agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("s"))
-        nodes.append(rolled.select("conv_id", F.lit(level).alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens")))
+        named = {"depth": F.lit(level), "parent_conv_id": F.col("parent"), "n_convs": F.col("n"), "saved_tokens": F.col("saved")}
+        nodes.append(rolled.withColumns(named))
         paths.append(here.filter(F.col("done") & (F.col("longest") > 0)).select("conv_id", "n", F.lit(level).alias("top")))
     if paths:
         path = reduce(DataFrame.unionByName, paths).join(rest, "conv_id").filter(F.col("depth") > F.col("top"))
