@@ -16,7 +16,7 @@ class, size and parts of about ``LEAF`` points; a node has a box: the upper corn
 its points, the range of their sizes and that of their classes. The trees are descended
 level by level, all at once: a pair of nodes whose bounds allow a link is replaced by
 the pairs of their children, and pairs of points in the last leaves are verified in
-full. Equal sets are one point, and in trees of more than a leaf the points are first
+full. Equal sets are one point, and in trees of more than ``PIVOTED`` points these are first
 verified against one of them, the pivot: those that became one class by verified links
 are skipped by the descent. So no link between classes is lost, large groups of copies
 aren't compared pair by pair, and no tree is one task's work.
@@ -44,9 +44,9 @@ from tallygrid.llm.words import MIX_A, Runs, filled, mixed, slices, split_words,
 #: A power of two. Too few axes make the minima of unrelated sets add up to most of their sizes.
 AXES = 64
 #: Points in a leaf, and children of an inner node below the levels of class and size.
-LEAF, FAN = 32, 8
-#: Rounds against one pivot before the descent.
-ROUNDS = 1
+LEAF, FAN = 128, 8
+#: Rounds against one pivot before the descent, in trees of more than so many points.
+ROUNDS, PIVOTED = 1, 4
 #: Groups named beyond those that decide, by share, and groups beyond those named, so that few are empty.
 SLACK, SPARE = 0.15, 1.1
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -320,10 +320,10 @@ def _classed(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _against_pivots(classed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): the pivot of each tree of more than a leaf with the members of other classes, sizes permitting."""
+    """(a, b): the pivot of each tree of more than PIVOTED points with the members of other classes, sizes permitting."""
     rank = F.struct("doc_id", "n", "class") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), "doc_id", "n", "class")
     pivots = classed.groupBy("key").agg(F.min(rank).alias("c"), F.count(F.lit(1)).alias("many"))
-    pivots = pivots.filter(F.col("many") > LEAF).select("key", F.col("c.doc_id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.class").alias("c_class"), "many")
+    pivots = pivots.filter(F.col("many") > PIVOTED).select("key", F.col("c.doc_id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.class").alias("c_class"), "many")
     near = (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent) & (F.col("class") != F.col("c_class"))
     pairs = join_hot(classed, settle(pivots, "join-pivots"), ("key",), "many").filter(near)
     return pairs.select(F.least("doc_id", "c_id").alias("a"), F.greatest("doc_id", "c_id").alias("b")).distinct()
