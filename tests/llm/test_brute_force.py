@@ -286,7 +286,7 @@ def test_language_of_a_text_ignores_its_neighbours():
 
 @needs_data
 def test_trees_find_the_links_of_the_given_documents(spark, monkeypatch):
-    """No tree there has more than a leaf, so no pivot does it."""
+    """Most trees there have a few points, so it's the descent that finds them."""
     links, plain = [], ngramjoin.verified
 
     def counted(*given):
