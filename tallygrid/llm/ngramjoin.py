@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import hot_parts, join_hot, join_spread, settle
+from tallygrid.llm.common import join_hot, join_spread, settle
 from tallygrid.llm.components import components
 from tallygrid.llm.words import MIX_A, Runs, filled, mixed, slices, split_words, text_of, word_hashes
 
@@ -45,8 +45,9 @@ from tallygrid.llm.words import MIX_A, Runs, filled, mixed, slices, split_words,
 AXES = 64
 #: Points in a leaf, and children of an inner node below the levels of class and size.
 LEAF, FAN = 128, 8
-#: Rounds against one pivot before the descent, in trees of more than so many points.
-ROUNDS, PIVOTED = 1, 4
+#: Rounds against one pivot before the descent, in trees of more than so many points. With fewer pivots
+#: the descent gives more pairs to verify, whose sets take more disk.
+ROUNDS, PIVOTED = 1, 1
 #: Groups named beyond those that decide, by share, and groups beyond those named, so that few are empty.
 SLACK, SPARE = 0.15, 1.1
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -191,11 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = settle(pairs, "join-pairs")
     left = sets.select(F.col("doc_id").alias("a"), F.col("point").alias("pa"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("point").alias("pb"), F.col("shingles").alias("sb"))
-    both = join_spread(pairs, left, "a", "b")
-    if hot_parts(pairs, "b").take(1):  # a document of very many pairs is dealt out on this side too
-        both = join_spread(settle(both, "join-halves"), right, "b", "a")
-    else:
-        both = both.join(right, "b")
+    both = join_spread(pairs, left, "a", "b").join(right, "b")
     total = F.size("sa") + F.size("sb")
     may = _bound("pa", "pb") * (100 + percent) >= total * percent
     shared = F.when(may, F.size(F.array_intersect("sa", "sb")))
