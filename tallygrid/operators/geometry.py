@@ -54,12 +54,14 @@ def seen_at(x: Column, y: Column, page: tuple[float, float, float, float], corne
     return place("x"), place("y")
 
 
-#: Grids of cells of size 2 ** -level: regions of a page's size go to the first, small ones to finer ones.
-LEVELS = range(-1, 12)
+#: Grids by size 2 ** -level: regions as large as a million pages go to the first, small ones to finer ones.
+LEVELS = range(-20, 12)
+#: A cell's side is its grid's size by this: more cells a region, fewer boxes beside it in them.
+FINER = 4
 
 
 def _cells(value: Column, level: Column) -> Column:
-    return F.floor(value * F.pow(F.lit(2.0), level)).cast("long")
+    return F.floor(value * F.pow(F.lit(2.0), level) * FINER).cast("long")
 
 
 def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = (), tolerance: float = 0.002) -> DataFrame:
@@ -69,10 +71,13 @@ def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ()
     left corner. ``keys`` are columns that must be equal (such as a layout), none are
     needed. Columns of the regions are named with ``region_`` before them.
 
-    A region, with its tolerance, goes to the grid whose cells are as large as it, so it
-    touches four cells at most; a box's corner has one cell in each grid, so no pair
-    comes twice. Boxes or regions with a null or NaN number are in no pair; a region of
-    negative size holds nothing.
+    A region, with its tolerance, goes to the grid of its size, whose cells are a quarter
+    to an eighth of it, so what is compared stays near what is found; it touches 25 cells
+    at most, and a box's corner has one cell in each grid that has regions, so no pair
+    comes twice. The pairs themselves grow with boxes times regions. They come from
+    tables of few bytes, so all the session's shuffle partitions share them, and neither
+    side is broadcast. Boxes or regions with a null or NaN number are in no pair; a
+    region of negative size holds nothing.
     """
     sides = [F.col(c).cast("double") for c in ("width", "height")]
     whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in ("x", "y", "width", "height")])
@@ -80,6 +85,8 @@ def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ()
     level = F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[-1]), F.floor(-F.log2(span)).cast("int")))
     named = regions.filter(whole & (F.least(*sides) >= 0)).withColumn("_level", F.when(span > 0, level).otherwise(F.lit(LEVELS[-1])))
 
+    used = named.select("_level").distinct()
+
     def touched(low: Column, size: Column) -> Column:
         first, last = _cells(low - tolerance, F.col("_level")), _cells(low + size + tolerance, F.col("_level"))
         return F.explode(F.sequence(first, last))
@@ -87,8 +94,11 @@ def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ()
     named = named.withColumn("_across", touched(F.col("x"), F.col("width"))).withColumn("_down", touched(F.col("y"), F.col("height")))
     renamed = named.select(*[F.col(c).alias(c if c in keys or c.startswith("_") else f"region_{c}") for c in named.columns])
     corners = boxes.filter(whole).withColumn("_level", F.explode(F.array(*map(F.lit, LEVELS))))
+    corners = corners.join(F.broadcast(used), "_level", "left_semi")
     corners = corners.withColumn("_across", _cells(F.col("x"), F.col("_level"))).withColumn("_down", _cells(F.col("y"), F.col("_level")))
-    near = corners.join(renamed, [*keys, "_level", "_across", "_down"]).drop("_level", "_across", "_down")
+    cell = [*keys, "_level", "_across", "_down"]
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = corners.repartition(tasks, *cell).hint("merge").join(renamed.repartition(tasks, *cell), cell).drop("_level", "_across", "_down")
     box = {c: F.col(c) for c in ("x", "y", "width", "height")}
     return near.filter(box_in_region(box, {c: F.col(f"region_{c}") for c in box}, tolerance))
 

@@ -39,6 +39,17 @@ def test_containment_needs_no_cross_join_and_takes_keys(spark):
     assert geometry.containment(boxes.limit(0), regions).count() == 0 == geometry.containment(boxes, regions.limit(0)).count()
 
 
+def test_all_tasks_share_the_pairs_of_small_files(spark):
+    boxes = spark.range(0, 400, 1, 1).selectExpr("id", "id % 20 / 20D as x", "floor(id / 20) / 20D as y", "0.01D as width", "0.01D as height")
+    regions = boxes.selectExpr("id", "x", "y", "0.15D + id % 3 / 20D as width", "0.2D as height")
+    found = geometry.containment(boxes, regions)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    pairs = sum(r["count"] for r in tasks)
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < pairs / 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "NestedLoop" not in plan
+
+
 def test_there_and_back(spark):
     rng, rows = random.Random(8), []
     for i in range(300):
