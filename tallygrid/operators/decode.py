@@ -38,14 +38,19 @@ def greedy_step(scores: Column) -> Column:
     """
     lowest = F.lit(float("-inf"))
 
+    def best(scores: Column) -> Column:
+        """The greatest number; NaN counts as greater than any, so only arrays with one are filtered."""
+        numbers = F.filter(scores, lambda x: ~F.isnan(x))
+        return bound(F.array_max(scores), lambda top: F.when(F.isnan(top), F.array_max(numbers)).otherwise(top))
+
     def picked(scores: Column, top: Column) -> Column:
         token = F.when(top.isNull() | (top == lowest), F.lit(0)).otherwise(F.array_position(scores, top).cast("int") - 1)
-        total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - F.coalesce(top, lowest)))
+        total = bound(F.coalesce(top, lowest), lambda most: F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - most)))
         probability = bound(total, lambda t: F.when(F.isnan(t) | ~(t > 0), F.lit(0.0)).otherwise(1 / t))
         return F.struct(token.alias("token"), probability.alias("probability"))
 
     def step(scores: Column) -> Column:
-        return bound(F.array_max(F.filter(scores, lambda x: ~F.isnan(x))), lambda top: picked(scores, top))
+        return bound(best(scores), lambda top: picked(scores, top))
 
     return F.when(scores.isNotNull(), bound(scores.cast("array<double>"), step))
 

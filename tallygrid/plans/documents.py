@@ -124,12 +124,13 @@ def recognized_answers(spark, sf_dir):
     """Readings of up to four steps: two tokens, one, none, an unknown one, and no end in sight; under contracts of two or four digits."""
     ids, names = F.array(*[F.lit(t) for t, _ in _SMALL]), len(_SMALL)
     parts = _read(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 5).alias("kind"))
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # few bytes a row, so few splits, but much to read
     x, y = F.get(ids, (F.col("p_partkey") % names).cast("int")), F.get(ids, (F.col("p_size") % names).cast("int"))
     high, higher = 4 + (F.col("p_partkey") % 10) / 10.0, 5 + (F.col("p_size") % 10) / 10.0
     end, odd = F.lit(decode.END), F.lit(7)
 
     def scores(token: F.Column, best: F.Column) -> F.Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda i: F.when(i == token, best).otherwise(F.lit(0.0)))
+        return F.concat(F.array_repeat(F.lit(0.0), token), F.array(best), F.array_repeat(F.lit(0.0), _WIDE - 1 - token))
 
     one, other = scores(x, high), scores(y, higher)
     steps = (

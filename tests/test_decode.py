@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.operators import decode
+from tallygrid.plans import documents
 
 INF, NAN = float("inf"), float("nan")
 
@@ -93,3 +94,9 @@ def test_recognize(spark):
     assert got[1]["layout_family"] == "unknown" and got[1]["limit"] == 4
     assert got[2]["decoded"]["blank"] and got[2]["blank_slots"] == [0, 1] and got[2]["limit"] == 1
     assert got[3]["tokens"] == [2] and got[3]["least"] == 0
+
+
+def test_all_tasks_share_the_readings_of_a_small_file(spark, tmp_path):
+    spark.range(0, 200, 1, 1).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    read = documents.recognized_answers(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(read) > 4 and sum(r["count"] for r in read) == 200
