@@ -127,3 +127,26 @@ def test_quality_threshold_is_the_quantile_of_the_bad_share():
     score = model.score(x)
     assert [s >= 0.5 for s in score] == [s >= model.threshold for s in strength]
     assert np.all(np.diff(score[np.argsort(strength)]) >= 0) and 0 <= score.min() and score.max() <= 1
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LISTED", 50)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(300, len(quality.FEATURES))), 2, axis=0)
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=len(x)) > 0).astype(np.int64)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "label int, x array<double>").repartition(5)
+    here, there = quality.fit(x, y, 0.6), quality.fit_rows(rows, 0.6)
+    for name in ("mean", "scale", "weights", "threshold"):
+        assert np.allclose(getattr(here, name), getattr(there, name), atol=1e-9), name
+    assert here.slope == pytest.approx(there.slope, rel=1e-4)
+    keys, by_bin = quality.sums(quality.standard(x, here.mean, here.scale), y, here.weights)
+    assert by_bin[:, 0].sum() == len(x)
+
+
+def test_quality_counts_more_than_a_sample_of_rows(spark, monkeypatch):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('w', id % 7) as text")
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda rows, share: seen.append(rows.count()) or share)
+    quality.learn(docs, labels)
+    assert seen == [docs.where("crc32(cast(doc_id as string)) % 3 <> 1").count()] and seen[0] > 16_000
