@@ -56,14 +56,31 @@ def seen_at(x: Column, y: Column, page: tuple[float, float, float, float], corne
 
 #: Grids by size 2 ** -level: regions as large as a million pages go to the first, small ones to finer ones.
 LEVELS = range(-20, 12)
-#: A cell's side is its grid's size by this: more cells a region, fewer boxes beside it in them.
-FINER = 4
+#: A cell's side is its grid's size by this: more cells for tasks to share, more copies of a region on their disks.
+FINER = 2
+#: Boxes in a leaf at most.
+LEAF = 32
 
 
 def _cells(value: Column, level: Column) -> Column:
     return F.floor(value * F.pow(F.lit(2.0), level) * FINER).cast("long")
 
 
+def _leaves(boxes: DataFrame, cell: list[str]) -> DataFrame:
+    """The boxes of each cell in leaves (``_boxes``) with the bounds of their edges, as an R-tree is packed: strips by x, cut by y.
+
+    Boxes that are partitioned by ``cell`` are not shuffled.
+    """
+    here = Window.partitionBy(*cell)
+    strips = F.ceil(F.sqrt(F.count(F.lit(1)).over(here) / LEAF))
+    strip = F.floor((F.row_number().over(here.orderBy("x")) - 1) / (strips * LEAF))
+    leaf = F.floor((F.row_number().over(Window.partitionBy(*cell, "_strip").orderBy("y")) - 1) / LEAF)
+    left, top = F.col("x") - F.col("width"), F.col("y") - F.col("height")
+    bounds = [F.max(left).alias("_left"), F.min("x").alias("_right"), F.max(top).alias("_top"), F.min("y").alias("_bottom")]
+    held = F.collect_list(F.struct(*[c for c in boxes.columns if c not in cell])).alias("_boxes")
+    return boxes.withColumn("_strip", strip).withColumn("_leaf", leaf).groupBy(*cell, "_strip", "_leaf").agg(*bounds, held)
+
+
 def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = (), tolerance: float = 0.002) -> DataFrame:
     """All pairs of a row of ``boxes`` and a row of ``regions`` that holds it: a range join through cells.
 
@@ -71,13 +88,16 @@ def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ()
     left corner. ``keys`` are columns that must be equal (such as a layout), none are
     needed. Columns of the regions are named with ``region_`` before them.
 
-    A region, with its tolerance, goes to the grid of its size, whose cells are a quarter
-    to an eighth of it, so what is compared stays near what is found; it touches 25 cells
-    at most, and a box's corner has one cell in each grid that has regions, so no pair
-    comes twice. The pairs themselves grow with boxes times regions. They come from
-    tables of few bytes, so all the session's shuffle partitions share them, and neither
-    side is broadcast. Boxes or regions with a null or NaN number are in no pair; a
-    region of negative size holds nothing.
+    A region, with its tolerance, goes to the grid of its size, whose cells are half of it
+    to all of it, so it touches nine cells at most; a box's corner has one cell in each
+    grid that has regions, so no pair comes twice. Only these copies are shuffled. In a
+    cell, boxes that stand together are packed in leaves, and a region is compared with
+    the boxes of those leaves alone whose bounds it meets, so what is compared stays near
+    what is found. A leaf's boxes come again for each of its regions in the same order,
+    so files of pairs compress well. The pairs themselves grow with boxes times regions.
+    They come from tables of few bytes, so all the session's shuffle partitions share
+    them, and neither side is broadcast. Boxes or regions with a null or NaN number are
+    in no pair; a region of negative size holds nothing.
     """
     sides = [F.col(c).cast("double") for c in ("width", "height")]
     whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in ("x", "y", "width", "height")])
@@ -98,9 +118,16 @@ def containment(boxes: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ()
     corners = corners.withColumn("_across", _cells(F.col("x"), F.col("_level"))).withColumn("_down", _cells(F.col("y"), F.col("_level")))
     cell = [*keys, "_level", "_across", "_down"]
     tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = corners.repartition(tasks, *cell).hint("merge").join(renamed.repartition(tasks, *cell), cell).drop("_level", "_across", "_down")
-    box = {c: F.col(c) for c in ("x", "y", "width", "height")}
-    return near.filter(box_in_region(box, {c: F.col(f"region_{c}") for c in box}, tolerance))
+    box, region = ({c: F.col(f"{of}{c}") for c in ("x", "y", "width", "height")} for of in ("", "region_"))
+    met = (
+        (F.col("_left") >= region["x"] - tolerance)
+        & (F.col("_right") <= region["x"] + region["width"] + tolerance)
+        & (F.col("_top") >= region["y"] - tolerance)
+        & (F.col("_bottom") <= region["y"] + region["height"] + tolerance)
+    )
+    near = _leaves(corners.repartition(tasks, *cell), cell).hint("merge").join(renamed.repartition(tasks, *cell), cell).filter(met)
+    pairs = near.select(*keys, F.inline("_boxes"), *[c for c in renamed.columns if c not in cell])
+    return pairs.filter(box_in_region(box, region, tolerance))
 
 
 def homography(corners: Column) -> Column:

@@ -50,6 +50,31 @@ def test_all_tasks_share_the_pairs_of_small_files(spark):
     assert "SortMergeJoin" in plan and "NestedLoop" not in plan
 
 
+def test_copies_that_go_to_disk_are_few(spark):
+    boxes = spark.range(0, 1000, 1, 2).selectExpr("id", "id * 53 % 997 / 997D as x", "id * 71 % 991 / 991D as y", "0.01D as width", "0.01D as height")
+    regions = boxes.selectExpr("id", "x", "y", "0.12D as width", "0.12D as height")
+    context, group = spark.sparkContext, "copies of containment"
+    context.setJobGroup(group, group)
+    found = geometry.containment(boxes, regions).filter("id >= 0").count()
+    context.setJobGroup("", "")
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(group)]
+    stages = {s for j in jobs for s in j.stageIds}
+    store = context._jsc.sc().statusStore()
+    written = [x.shuffleWriteRecords() for x in (store.lastStageAttempt(s) for s in stages) if x.status().toString() == "COMPLETE"]
+    assert found > 10_000 and 1000 < max(written) <= 9 * 1000
+
+
+def test_leaves_of_boxes_in_one_place_and_of_several_keys(spark):
+    rng = random.Random(4)
+    boxes = [(k, 0.5, 0.5, 0.01, 0.01) for k in "ab" for _ in range(100)] + [(rng.choice("ab"), rng.random(), rng.random(), 0.01, 0.01) for _ in range(400)]
+    regions = [(rng.choice("abc"), rng.random(), rng.random(), 0.4 * rng.random(), 0.4 * rng.random()) for _ in range(150)]
+    frame = lambda rows: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"layout string, {RECT}, i int")
+    found = geometry.containment(frame(boxes), frame(regions), ("layout",))
+    want = sorted((b[0], i, j) for i, b in enumerate(boxes) for j, r in enumerate(regions) if b[0] == r[0] and holds(b[1:], r[1:]))
+    assert sorted((r["layout"], r["i"], r["region_i"]) for r in found.collect()) == want and len(want) > 1000
+    assert found.columns == ["layout", "x", "y", "width", "height", "i", *[f"region_{c}" for c in ("x", "y", "width", "height", "i")]]
+
+
 def test_there_and_back(spark):
     rng, rows = random.Random(8), []
     for i in range(300):
